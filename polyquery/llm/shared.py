@@ -96,3 +96,27 @@ def running(df: DataFrame, keys: list[str], by: Column, order: list[Column], wei
     inside = W.partitionBy(*ks, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     df = df.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     return df.join(before, [*ks, "_b"]).withColumn(name, F.col("_before") + F.col("_inside")).drop(*ks, "_b", "_before", "_inside")
+
+
+def ready(spark: SparkSession) -> None:
+    """Arrow limits, and the package on the workers' path where the driver found it by sys.path alone."""
+    limits(spark)
+    import polyquery
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(polyquery.__file__)))
+    known = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p} | {os.getcwd()}
+    if root in known or "polyquery.zip" in spark.sparkContext._python_includes:
+        return
+    import zipfile
+
+    path = os.path.join(tempfile.mkdtemp(), "polyquery.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "polyquery")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(full := os.path.join(folder, n), os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+
+
+def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK = 4 << 20  # bytes of text handled at once
+CHUNK = 512 << 10  # bytes of text handled at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,8 +33,11 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse's, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + (1 << 16))
-        _powers[:] = [np.cumprod(np.concatenate(([1], np.full(size, b, U64))), dtype=U64) for b in (BASE, pow(BASE, -1, 1 << 64))]
+        size = max(n, (1 << 20))
+        steps = [np.full(size + 1, b, U64) for b in (BASE, pow(BASE, -1, 1 << 64))]
+        for x in steps:
+            x[0] = 1
+        _powers[:] = [np.cumprod(x, dtype=U64) for x in steps]
     return _powers[0], _powers[1]
 
 
