@@ -78,7 +78,7 @@ def map_file(uri: str):
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
-def running(df: DataFrame, keys: list[str], by: Column, order: list[Column], weight: Column, name: str, rows_per_bucket: int = 20_000, rows: int | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], by: Column, order: list[Column], weight: Column, name: str, rows_per_bucket: int = 2_000, rows: int | None = None) -> DataFrame:
     """Adds `name`: the sum of `weight` over the rows of the same keys before this one, in the order of (bucket of `by`, order).
 
     by: a uniform 64-bit hash. Its top bits deal the rows of each key into buckets, so that a key
