@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from polyquery.llm import near_dedup, packing, token_counts
+from polyquery.llm import fingerprints, near_dedup, packing, token_counts
 
 QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_packing": packing.op6_packing,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
