@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from polyquery.llm import fingerprints, lm_score, near_dedup, packing, token_counts
+from polyquery.llm import fingerprints, lm_score, mixing, near_dedup, packing, token_counts
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_packing": packing.op6_packing,
+    "op7_mixing": mixing.op7_mixing,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
