@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from polyquery.llm import fingerprints, lm_score, mixing, near_dedup, packing, pii, token_counts
+from polyquery.llm import fingerprints, lm_score, mixing, near_dedup, packing, pii, quality, token_counts
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
+    "op2_quality": quality.op2_quality,
     "op3_pii": pii.op3_pii,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_packing": packing.op6_packing,
