@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from polyquery.llm import fingerprints, lm_score, mixing, near_dedup, packing, pii, quality, token_counts
+from polyquery.llm import fingerprints, lm_score, mixing, near_dedup, packing, pii, quality, secrets, token_counts
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}
