@@ -1,15 +1,19 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
-Each document's distinct word shingles give a MinHash signature of `coordinates` values. Documents with
-equal shingle sets are one class; each class is posted once under each (coordinate, value) pair. Two
-classes are candidates when at least `matches` coordinates agree. Such a pair must meet among the
+Each document's distinct word shingles give a MinHash signature of `coordinates` values, each of `MINIMA`
+minima under hash functions of its own, so that a coordinate agrees with the resemblance's third power
+and texts that share a passage or a frequent phrase rarely meet. Documents with equal shingle sets are
+one class; each class is posted once under each (coordinate, value) pair. Two classes are candidates when at least `matches` coordinates agree. Such a pair must meet among the
 coordinates - matches + 1 rarest pairs of each side (a prefix in one order of all pairs, by frequency),
 so only these are posted, pairs that one class alone has are skipped, and the collisions of a met pair
 are counted on the two signatures. Every candidate is confirmed on the full shingle sets.
 
 Postings of large groups are not expanded into all pairs: in each round every pair's list links the
 classes of each component so far to one centre, components merge, and lists that lie in one component
-are done. What stays split after these rounds is compared exhaustively.
+are done. In the lists that stay split every pair is compared, in blocks inside a task and without
+writing pairs: each set has a parity sketch (one bit for each hash value, flipped by each shingle), and
+two sketches never differ in more bits than the sets do in shingles, so that a pair whose sketches
+differ too much is ruled out for certain. Only what is left goes on to the full sets.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ from pyspark.sql import functions as F
 from polyquery.llm.shared import documents, ready, staged
 from polyquery.llm.words import U64, chunks, mix, shingles, text_bytes, word_hashes
 
-COORDINATES, MATCHES = 32, 14  # a pair of resemblance 0.8 agrees in 14 of 32 but for one case in a million
+MINIMA, COORDINATES, MATCHES = 3, 32, 5  # a pair of resemblance 0.8 agrees in 5 of 32 but for some five cases in a million
 BROADCAST_ROWS = 500_000
+BLOCK = 2048  # members of a list that meet in one task, twice
 
 
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +59,7 @@ def signed(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        flip, odd = multipliers(coordinates)
+        flip, odd = multipliers(coordinates * MINIMA)
         for batch in batches:
             n, node, rows = [], [], []
             for _, _, sets, bounds in document_sets(batch.column(1), k):
@@ -63,7 +68,10 @@ def signed(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
                 values = np.zeros((len(size), coordinates), np.int64)
                 if len(some):
                     for j in range(coordinates):
-                        values[some, j] = np.minimum.reduceat(((sets ^ flip[j]) * odd[j]) >> U64(32), bounds[some]).astype(np.int64) | (j << 32)
+                        value = np.full(len(some), j, U64)
+                        for i in range(MINIMA * j, MINIMA * j + MINIMA):
+                            value = mix(value ^ np.minimum.reduceat((sets ^ flip[i]) * odd[i], bounds[some]))
+                        values[some, j] = value.view(np.int64)
                 n.append(size)
                 node += [digest(sets[bounds[i] : bounds[i + 1]]) if size[i] else None for i in range(len(size))]
                 rows.append(values)
@@ -75,18 +83,100 @@ def signed(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n bigint, node binary, signature array<bigint>")
 
 
+def parity(part: np.ndarray) -> bytes:
+    """A power of two of bits, two for each shingle at least; bit h is the parity of the shingles whose hash ends in h."""
+    n = max(64, 1 << (2 * len(part) - 1).bit_length())
+    odd = np.bincount((part & U64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of documents that have words."""
+    """(node, shingles, sketch) of documents that have words."""
 
     def run(batches):
         for batch in batches:
             for _, _, sets, bounds in document_sets(batch.column(1), k):
                 some = np.flatnonzero(np.diff(bounds))
-                node = [digest(sets[bounds[i] : bounds[i + 1]]) for i in some]
+                parts = [sets[bounds[i] : bounds[i + 1]] for i in some]
                 offsets = np.concatenate((bounds[some], bounds[-1:])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.view(np.int64)))], ["node", "shingles"])
+                shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(digest, parts)), pa.binary()), shingles, pa.array(list(map(parity, parts)), pa.binary())], ["node", "shingles", "sketch"])
+
+    return docs.mapInArrow(run, "node binary, shingles array<bigint>, sketch binary")
+
+
+def close_pairs(lists: DataFrame, percent: int, matches: int) -> DataFrame:
+    """(a, b): pairs of one (key, i, j) group, of different components, that neither sketch nor signature rules out.
+
+    lists: (key, i, j, block, node, comp, n, signature, sketch, mask). A pair is given by the first list alone
+    that both are posted in, as far as lists are split into the same blocks.
+    """
+
+    def group(key, rows) -> list[tuple[bytes, bytes]]:
+        block, nodes, comps, n, signatures, sketches, masks = rows
+        i, j = key[1], key[2]
+        coordinate = int(np.argmax(signatures[0] == key[0]))
+        earlier = np.int64((1 << coordinate) - 1)
+        width = np.array([len(x) for x in sketches])
+        held = {w: (np.flatnonzero(width == w)) for w in np.unique(width).tolist()}
+        words = {w: np.frombuffer(b"".join(sketches[x] for x in at), np.uint64).reshape(len(at), -1) for w, at in held.items()}
+        out = []
+        for w, at in held.items():
+            sides = [(at, words[w])]
+            if 2 * w in held:
+                wide = words[2 * w]
+                sides.append((held[2 * w], wide[:, : w // 8] ^ wide[:, w // 8 :]))
+            for row, a in enumerate(at.tolist()):
+                for others, bits in sides:
+                    apart = (comps[others] != comps[a]) & (nodes[others] > nodes[a] if others is at else nodes[others] != nodes[a])
+                    if i != j:
+                        apart &= block[others] != block[a]
+                    small, large = np.minimum(n[others], n[a]), np.maximum(n[others], n[a])
+                    which = np.flatnonzero(apart & (100 * small >= percent * large))
+                    if not len(which):
+                        continue
+                    differ = np.bitwise_count(bits[which] ^ words[w][row]).sum(axis=1, dtype=np.int64)
+                    which = which[differ * (100 + percent) <= (100 - percent) * (n[others[which]] + n[a])]
+                    for b in others[which].tolist():
+                        same = signatures[a] == signatures[b]
+                        if same.sum() >= matches and not (np.flatnonzero(same & ((masks[a] & masks[b] & earlier) >> np.arange(len(same)) & 1).astype(bool))).size:
+                            out.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+        return out
+
+    def run(batches):
+        at, held = None, []
+
+        def close():
+            cols = list(zip(*held, strict=True))
+            rows = (np.array(cols[3]), np.array(cols[4], object), np.array(cols[5], object), np.array(cols[6]), np.array(cols[7]), cols[8], np.array(cols[9]))
+            pairs = group(at, rows)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in pairs], pa.binary()) for c in (0, 1)], ["a", "b"])
 
-    return docs.mapInArrow(run, "node binary, shingles array<bigint>")
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != at:
+                    if len(held) > 1:
+                        yield from close()
+                    at, held = row[:3], []
+                held.append(row)
+        if len(held) > 1:
+            yield from close()
+
+    return lists.mapInArrow(run, "a binary, b binary")
+
+
+def split_lists(at: DataFrame, heads: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of the lists that lie in several components, with what close_pairs needs, dealt by list and pair of blocks."""
+    split = staged(at.join(heads.select("key"), "key"), "split")
+    masks = split.groupBy("node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place"))).alias("mask"))
+    members = split.groupBy("key").count().select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    known = signatures.join(sets.select("node", "sketch", F.size("shingles").alias("n")), "node").join(masks, "node")
+    rows = split.join(members, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp").join(known, "node")
+    rows = rows.select("key", "i", "j", "block", "node", "comp", "n", "signature", "sketch", "mask")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -117,16 +207,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     base = staged(signed(docs, shingle, coordinates), "signatures")
     classes = base.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "n", "signature")).alias("x")).select("node", "x.id", "x.signature")
     classes = staged(classes, "classes")
-    posts = classes.select("node", F.explode("signature").alias("key"))
+    posts = classes.select("node", F.posexplode("signature").alias("place", "key"))
     often = posts.groupBy("key").count().where("count > 1")
     shared = posts.join(often, "key")
     mine = W.partitionBy("node")
     prefix = coordinates - matches + 1
     shared = shared.withColumn("has", F.count("*").over(mine)).where(F.col("has") >= matches)
-    shared = shared.withColumn("place", F.row_number().over(mine.orderBy("count", "key")) + coordinates - F.col("has")).where(F.col("place") <= prefix)
-    posts = staged(shared.select("node", "key"), "postings")
+    shared = shared.withColumn("turn", F.row_number().over(mine.orderBy("count", "key")) + coordinates - F.col("has")).where(F.col("turn") <= prefix)
+    posts = staged(shared.select("node", "place", "key"), "postings")
     met = posts.groupBy("key").count().where("count > 1").select("key")
-    posts = staged(posts.join(met, "key").select("node", "key"), "postings")
+    posts = staged(posts.join(met, "key").select("node", "place", "key"), "postings")
 
     alive = posts.select("node").distinct().join(classes, "node")
     alive = staged(alive.select("node", "id", "signature"), "alive")
@@ -151,15 +241,13 @@ def link(posts: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int,
     edges = tried = found = None
     turn = 0
     while turn <= rounds:
-        at = posts.withColumn("comp", F.col("node")) if found is None else posts.join(found, "node", "left").select("node", "key", F.coalesce("root", "node").alias("comp"))
+        at = posts.withColumn("comp", F.col("node")) if found is None else posts.join(found, "node", "left").select("node", "place", "key", F.coalesce("root", "node").alias("comp"))
         ends = at.groupBy("key", "comp").agg(F.min("node").alias("node"))
         heads = ends.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("head"), F.count("*").alias("comps")).where("comps > 1")
         if turn < rounds:
             pairs = ends.join(heads, "key").where(F.col("comp") != F.col("head.comp")).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
         else:
-            split = staged(at.join(heads.select("key"), "key"), "split")
-            other = split.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = split.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b"))).select(F.col("node").alias("a"), "b")
+            pairs = close_pairs(split_lists(at, heads, signatures, sets), percent, matches)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -168,7 +256,7 @@ def link(posts: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int,
         pairs = staged(pairs.join(left, "a").join(right, "b").select("a", "b", (agree >= matches).alias("candidate")), "pairs")
         both = F.size(F.array_intersect("x", "y"))
         whole = F.size("x") + F.size("y") - both
-        checked = pairs.where("candidate").select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(100 * both >= percent * whole)
+        checked = pairs.where("candidate").select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").where(100 * both >= percent * whole)
         new = staged(checked.select("a", "b"), "edges")
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         if new.isEmpty():
