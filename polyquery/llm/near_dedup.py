@@ -193,7 +193,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, matches: int = MATCHES, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, matches: int = MATCHES, rounds: int = 1) -> DataFrame:
     """(id, n_shingles, component_id, kept): documents linked when 100 * |A and B| >= percent * |A or B|.
 
     component_id is the smallest id that links lead to, itself included; kept marks the row with that id.
@@ -268,5 +268,22 @@ def link(posts: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int,
     return found
 
 
+#: For DuckDB: all pairs through their common shingles, and everything that links reach.
+SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+    SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) > 1 THEN [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] ELSE w END)) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+    SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), e AS (SELECT x, y FROM l UNION SELECT y, x FROM l), r AS (
+    SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.m
+)
+SELECT r.doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(m) AS component_id, r.doc_id = min(m) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=2)

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_secrets": secrets.op10_secrets,
 }
-ORACLE_SQL: dict[str, str] = {"op5_cover_search": cover_search.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_cover_search": cover_search.SQL, "op9_near_dedup": near_dedup.SQL}
