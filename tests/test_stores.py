@@ -113,7 +113,7 @@ def test_exploring(spark):
     seen = {r.node_id: r.hops for r in explore.reached(g, spark.createDataFrame([("f1",)], "node_id string"), 2).collect()}
     assert seen["f1"] == 0 and seen["p1"] == 1 and seen["f2"] == 2
     kept, edges, more = explore.whole(g, 4)
-    assert kept.count() == 4 and more and edges.count() == 3
+    assert kept.count() == 4 and more and edges.count() == 2
 
 
 def test_stream_equals_batch(spark, tmp_path):
