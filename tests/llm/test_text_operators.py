@@ -174,3 +174,11 @@ def test_secrets(spark):
     clean = {r.doc_id: r for r in secrets.redacted(frame(spark, texts)).collect()}
     assert clean[n].text == "key [secret] here" and clean[n].n_chars == len(clean[n].text) and clean[5].text == ODD[5] and clean[0].text is None
     assert secrets.scan(frame(spark, [])).collect() == []
+
+
+def test_plain_addresses_are_the_patterns_and_linear():
+    plain, r = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), random.Random(5)
+    for _ in range(20_000):
+        t = "".join(r.choice("123...0 a") for _ in range(r.randint(0, 25)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in plain.finditer(t)]
+    assert pii.spans("7" * 300_000 + " a@b.co")[0] == [("email", 300_001, 300_007)]
