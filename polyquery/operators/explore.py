@@ -35,7 +35,7 @@ def reached(graph: Graph, seeds: DataFrame, depth: int, checkpoint: bool = True)
     """(node_id, hops): nodes within `depth` undirected hops. Each hop joins the frontier only; hops are cut from lineage
     with reliable checkpoints where a checkpoint folder is set."""
     spark = graph.spark
-    steps = both_ways(links(graph)).select("at", "to").distinct()
+    steps = both_ways(links(graph)).select("at", "to")  # repeats go with the frontier's distinct
     live = graph.all_nodes().select("node_id")
     seen = frontier = live.join(seeds.select("node_id").distinct(), "node_id", "left_semi").withColumn("hops", F.lit(0))
     cut = checkpoint and spark.conf.get("spark.checkpoint.dir", None)

@@ -376,6 +376,8 @@ class Planner:
                 own = values.get("id")
                 node = own.col if own is not None and own.family == "str" else F.lit(f"_n{seq}")
                 seq += 1
+                if len(p.labels) > 1:
+                    self.graph = replace(self.graph, overlapping=True)
                 for label in p.labels or ["_"]:
                     made = self.df.select(node.alias("node_id"), *[v.col.alias(k) for k, v in values.items()])
                     self.graph = self.graph.with_nodes(label, made.dropDuplicates(["node_id"]))

@@ -40,6 +40,7 @@ class Graph:
     kv: DataFrame | None = None  # (namespace, key, value): the live records
     hashes: DataFrame | None = None  # (ns, coll, field, value)
     zsets: DataFrame | None = None  # (ns, coll, member, score)
+    overlapping: bool = False  # some node is in the tables of several labels
 
     def with_nodes(self, label: str, rows: DataFrame) -> Graph:
         have = self.nodes.get(label)
@@ -62,7 +63,7 @@ class Graph:
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         if out is None:
             return self.spark.createDataFrame([], "node_id string")
-        return out.dropDuplicates(["node_id"]) if len(self.nodes) > 1 and any("_shared" in r.columns for r in self.nodes.values()) else out
+        return out.dropDuplicates(["node_id"]) if self.overlapping else out
 
     def any_edges(self, kinds: list[str]) -> EdgeType:
         found = [(k, self.edges[k]) for k in (kinds or self.edges) if k in self.edges]

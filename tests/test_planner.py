@@ -68,6 +68,12 @@ def test_writes(spark):
     assert column(g, "MATCH (a:User)-[:F]->(b) RETURN b") == [] and column(g, "MATCH (n) RETURN n") == ["a"]
 
 
+def test_several_labels(spark):
+    g = load_statements(Graph(spark), "CREATE (a:User:Admin {id:'a'}); CREATE (b:User {id:'b'});")
+    assert column(g, "MATCH (n) RETURN n") == ["a", "b"] and column(g, "MATCH (n:Admin) RETURN n") == ["a"]
+    assert column(g, "MATCH (n:User:Admin) RETURN n") == ["a", "b"] and column(g, "MATCH (n:User:Admin) RETURN n", "open") == ["a"]
+
+
 def test_other_graphs(spark):
     assert column(sample_films(spark), "MATCH (p:Person)-[:DIRECTED]->(m) RETURN m.title") == ["Paper Lanterns", "The Quiet Shore"]
     g = bench_graph(spark, 20, 60)
