@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,27 @@ from pyspark.sql import functions as F
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+class Lazy(Mapping):
+    """A mapping whose values are made when they are first asked for, so that a query plans only the tables it names."""
+
+    def __init__(self, makers: dict[str, Callable[[], object]]) -> None:
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, key: str):
+        if key not in self.made:
+            self.made[key] = self.makers[key]()
+        return self.made[key]
+
+    def __contains__(self, key: object) -> bool:
+        return key in self.makers
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
 @dataclass(frozen=True)
 class EdgeType:
     """rows: (edge_id, src, dst, properties...); the labels that its ends have, where all have one."""
@@ -34,9 +56,9 @@ class Graph:
     """nodes: label -> (node_id, properties...); edges: type -> EdgeType. Values are immutable: writes give a new graph."""
 
     spark: SparkSession
-    nodes: dict[str, DataFrame] = field(default_factory=dict)
-    edges: dict[str, EdgeType] = field(default_factory=dict)
-    indexes: dict[str, VectorIndex] = field(default_factory=dict)
+    nodes: Mapping[str, DataFrame] = field(default_factory=dict)
+    edges: Mapping[str, EdgeType] = field(default_factory=dict)
+    indexes: Mapping[str, VectorIndex] = field(default_factory=dict)
     kv: DataFrame | None = None  # (namespace, key, value): the live records
     hashes: DataFrame | None = None  # (ns, coll, field, value)
     zsets: DataFrame | None = None  # (ns, coll, member, score)
@@ -86,24 +108,29 @@ def node_key(label: str, column: str):
 def tpch_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The star-schema tables as a graph: Region, Nation, Customer, Supplier, Part and Order nodes and their keys as edges."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    g = Graph(spark)
-    for label, table, key in (("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"), ("Order", "orders", "o_orderkey")):
-        g = g.with_nodes(label, t(table).select(node_key(label, key).alias("node_id"), "*"))
 
-    def link(kind: str, rows: DataFrame, src: str, src_key: str, dst: str, dst_key: str, *props: str) -> None:
-        nonlocal g
+    def nodes(label: str, name: str, key: str) -> Callable[[], DataFrame]:
+        return lambda: t(name).select(node_key(label, key).alias("node_id"), "*")
+
+    def edges(kind: str, name: str, src: str, src_key: str, dst: str, dst_key: str, *props: str) -> Callable[[], EdgeType]:
         a, b = node_key(src, src_key), node_key(dst, dst_key)
         extra = [F.col(props[0]).cast("string")] if props else []
-        g = g.with_edges(kind, rows.select(F.concat_ws("|", a, F.lit(kind), b, *extra).alias("edge_id"), a.alias("src"), b.alias("dst"), *props), src, dst)
-
-    link("LOCATED_IN", t("customer"), "Customer", "c_custkey", "Nation", "c_nationkey")
-    link("BASED_IN", t("supplier"), "Supplier", "s_suppkey", "Nation", "s_nationkey")
-    link("IN_REGION", t("nation"), "Nation", "n_nationkey", "Region", "n_regionkey")
-    link("PLACED", t("orders"), "Customer", "o_custkey", "Order", "o_orderkey")
-    link("CONTAINS", t("lineitem"), "Order", "l_orderkey", "Part", "l_partkey", "l_linenumber", "l_quantity")
-    link("SUPPLIED_BY", t("lineitem"), "Order", "l_orderkey", "Supplier", "l_suppkey", "l_linenumber", "l_quantity")
-    vectors = t("embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), node_key("Part", "vec_id").alias("node_id"))
-    return replace(g, indexes={"docs": VectorIndex(vectors, "cosine", "Part")})
+        return lambda: EdgeType(t(name).select(F.concat_ws("|", a, F.lit(kind), b, *extra).alias("edge_id"), a.alias("src"), b.alias("dst"), *props), src, dst)
+
+    def vectors() -> VectorIndex:
+        return VectorIndex(t("embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), node_key("Part", "vec_id").alias("node_id")), "cosine", "Part")
+
+    line = ("l_linenumber", "l_quantity")
+    labels = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Order": ("orders", "o_orderkey")}
+    kinds = {
+        "LOCATED_IN": ("customer", "Customer", "c_custkey", "Nation", "c_nationkey"),
+        "BASED_IN": ("supplier", "Supplier", "s_suppkey", "Nation", "s_nationkey"),
+        "IN_REGION": ("nation", "Nation", "n_nationkey", "Region", "n_regionkey"),
+        "PLACED": ("orders", "Customer", "o_custkey", "Order", "o_orderkey"),
+        "CONTAINS": ("lineitem", "Order", "l_orderkey", "Part", "l_partkey", *line),
+        "SUPPLIED_BY": ("lineitem", "Order", "l_orderkey", "Supplier", "l_suppkey", *line),
+    }
+    return Graph(spark, Lazy({k: nodes(k, *v) for k, v in labels.items()}), Lazy({k: edges(k, *v) for k, v in kinds.items()}), Lazy({"docs": vectors}))
 
 
 def bench_graph(spark: SparkSession, users: int, follows: int) -> Graph:
