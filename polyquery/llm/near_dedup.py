@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     ready(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = staged(signed(docs, shingle, coordinates), "signatures")
-    classes = base.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "n", "signature")).alias("x")).select("node", "x.id", "x.signature")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "n", "signature"))  # an id is null only where the whole class has none
+    classes = base.where("n > 0").groupBy("node").agg(first.alias("x")).select("node", "x.id", "x.signature")
     classes = staged(classes, "classes")
     posts = classes.select("node", F.posexplode("signature").alias("place", "key"))
     often = posts.groupBy("key").count().where("count > 1")
@@ -224,7 +225,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     if not alive.isEmpty():
         wanted = alive.select("id").distinct()
         few = alive.count() <= BROADCAST_ROWS  # ids of at most so many classes are broadcast, more are joined by a shuffle
-        sets = staged(full_sets(docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), shingle).join(alive.select("node"), "node", "left_semi"), "sets")
+        sets = full_sets(docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), shingle).join(alive.select("node"), "node", "left_semi")
+        nameless = alive.where("id is null").select("node")
+        if not nameless.isEmpty():  # no id leads to these: all rows without one are gone through
+            texts = docs.where("id is null").dropDuplicates(["text"])
+            sets = sets.unionByName(full_sets(texts, shingle).join(nameless, "node", "left_semi").dropDuplicates(["node"]))
+        sets = staged(sets, "sets")
         found = link(posts, alive.select("node", "signature"), sets, percent, matches, rounds)
     members = base.select("id", "n", "node")
     if found is None:

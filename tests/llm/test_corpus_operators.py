@@ -79,6 +79,19 @@ def test_near_duplicates_odd_tables(spark):
     assert got == sorted([(1, 1, True), (1, 1, True), (None, 1, False), (None, None, True), (7, 7, True)], key=repr)
 
 
+def test_near_duplicates_of_rows_without_id(spark):
+    """A row without an id hides neither its exact copies' links nor its own; a class of such rows alone is linked like any other."""
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    for rows, want in (
+        ([(5, text, "s"), (None, text, "s"), (7, near, "s")], [(5, 5, True), (7, 5, False), (None, 5, False)]),
+        ([(None, text, "s"), (None, text, "s"), (None, text.upper(), "s"), (7, near, "s")], [(7, 7, True)] + [(None, 7, False)] * 3),
+        ([(None, text, "s"), (None, near, "s"), (3, "a b c", "s")], [(3, 3, True)] + [(None, None, True)] * 2),
+    ):
+        got = [(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_language_model(spark):
     rows = corpus(60, 2)
     train = [t for i, t, _ in rows if i % 3]
