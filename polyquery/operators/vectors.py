@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,12 +120,17 @@ class Hyperplanes:
         return out.cast("int")
 
     def probes(self, query: list[float], n: int) -> list[int]:
-        """The query's bucket, then those a bit away by ascending margin, then two bits away by summed margins."""
+        """The query's bucket, then those a bit away by ascending margin, then two, three and more bits away by summed margins."""
         margins = np.array(self.planes) @ np.asarray(query, float)
         own = int(sum(1 << i for i, m in enumerate(margins) if m >= 0))
         order = np.argsort(np.abs(margins), kind="stable").tolist()
-        pairs = sorted(((abs(margins[a]) + abs(margins[b]), a, b) for i, a in enumerate(order) for b in order[i + 1 :]), key=lambda x: x[0])
-        return [own, *(own ^ (1 << i) for i in order), *(own ^ (1 << a) ^ (1 << b) for _, a, b in pairs)][:n]
+        out = [own]
+        for flips in range(1, len(order) + 1):
+            if len(out) >= n:
+                break
+            sets = sorted(itertools.combinations(order, flips), key=lambda bits: sum(abs(margins[i]) for i in bits))
+            out += [own ^ sum(1 << i for i in bits) for bits in sets]
+        return out[:n]
 
     def candidates(self, rows: DataFrame, query: list[float], ef: int | None = None) -> DataFrame:
         return rows.where(self.bucket(F.col("vector")).isin(self.probes(query, ef or 2 * len(self.planes))))

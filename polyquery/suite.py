@@ -178,15 +178,19 @@ def _ids(spark, d):
     return vectors.vector_ids(_vectors(spark, d)).select("id", "vector_id")
 
 
+LSH, LSH_PROBES = (64, 6, 7), 56  # dimensions, bits, seed; buckets looked into, of 64
+IVF_CELLS, IVF_PROBES = 16, 13
+
+
 @query("lsh_search")
 def _lsh(spark, d):
-    return vectors.top_k(vectors.Hyperplanes.drawn(64, 6, 7).candidates(_vectors(spark, d), _first(spark, d), 22), _first(spark, d), 10).select("id", F.round("distance", 5).alias("distance"))
+    return vectors.top_k(vectors.Hyperplanes.drawn(*LSH).candidates(_vectors(spark, d), _first(spark, d), LSH_PROBES), _first(spark, d), 10).select("id", F.round("distance", 5).alias("distance"))
 
 
 @query("ivf_search")
 def _ivf(spark, d):
     rows = _vectors(spark, d)
-    return vectors.top_k(vectors.Cells.trained(rows, 16, probes=8).candidates(rows, _first(spark, d)), _first(spark, d), 10, "l2").select("id", F.round("distance", 5).alias("distance"))
+    return vectors.top_k(vectors.Cells.trained(rows, IVF_CELLS, probes=IVF_PROBES).candidates(rows, _first(spark, d)), _first(spark, d), 10, "l2").select("id", F.round("distance", 5).alias("distance"))
 
 
 # versioned records: events as a log

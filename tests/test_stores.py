@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from polyquery import suite
 from polyquery.operators import budget, collections, explore, history, kv, statistics, vectors
 from polyquery.streaming import changefeed
 
@@ -91,6 +93,32 @@ def test_vectors(spark):
     assert vectors.top_k(rows.where("id = 1000"), q, 1).first().score == 0.0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_searches_keep_their_recall(spark, sf):
+    """Of the ten nearest, 95 % are among the candidates of the registered settings, over some 300 queries."""
+    rows = suite._vectors(spark, f"/root/testdata/{sf}")
+    planes, cells = vectors.Hyperplanes.drawn(*suite.LSH), vectors.Cells.trained(rows, suite.IVF_CELLS, probes=suite.IVF_PROBES)
+    all_rows = rows.select("id", "vector", planes.bucket(F.col("vector")).alias("bucket"), cells.cell(F.col("vector")).alias("cell")).toPandas()
+    x, ids = np.array(all_rows["vector"].tolist(), float), all_rows["id"].to_numpy()
+    unit, centroids, lsh, ivf = x / np.linalg.norm(x, axis=1)[:, None], np.array(cells.centroids), [], []
+    for q in range(0, len(x), len(x) // 300 or 1):
+        best = np.lexsort((ids, 1 - unit @ unit[q]))[:10]
+        lsh.append(all_rows["bucket"].iloc[best].isin(planes.probes(x[q].tolist(), suite.LSH_PROBES)).mean())
+        best = np.lexsort((ids, ((x - x[q]) ** 2).sum(axis=1)))[:10]
+        near = np.argsort(((centroids - x[q]) ** 2).sum(axis=1), kind="stable")[: cells.probes]
+        ivf.append(all_rows["cell"].iloc[best].isin(near).mean())
+    assert np.mean(lsh) >= 0.95 and np.mean(ivf) >= 0.95
+    for name, metric in (("lsh_search", "cosine"), ("ivf_search", "l2")):
+        found = {r.id for r in suite.queries()[name](spark, f"/root/testdata/{sf}").collect()}
+        assert len(found & {r.id for r in vectors.top_k(rows, x[ids.tolist().index(0)].tolist(), 10, metric).collect()}) >= 8
+
+
+def test_probes_come_to_every_bucket_once():
+    planes = vectors.Hyperplanes.drawn(8, 4, 1)
+    probes = planes.probes([1.0, -2.0, 0.5, 3.0, 0.0, 1.0, -1.0, 2.0], 16)
+    assert sorted(probes) == list(range(16)) and [(p ^ probes[0]).bit_count() for p in probes] == [0] + [1] * 4 + [2] * 6 + [3] * 4 + [4]
+
+
 def test_statistics_and_history(spark):
     rows = spark.createDataFrame([("a", i, float(i)) for i in range(100)], "g string, t bigint, v double")
     assert statistics.last_quantile(rows, ["g"], ["t"], "v").first().v == sorted(range(36, 100))[int(0.95 * 63)]
