@@ -102,6 +102,10 @@ SPOKEN = re.compile(rf"(?<![\w.%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\s+{DOT}\s+)[A-Za-
 HINT = re.compile(rf"{OPEN}(?:{AT}|{DOT}|@|\.){CLOSE}|(?<!\w){DOT}(?!\w)|\s@|@\s", re.I)
 # Top-level names at which a spoken address may end.
 TOP = frozenset("com org net edu gov mil int info biz name pro io ai app dev co me tv uk us ca au nz ie de at ch fr be es pt it nl se no dk fi pl cz ru ua jp cn kr in br mx ar cl eu example test".split())
+# Between the parts of a joined run: a dot in words, in brackets or as a sign (not one that ends a sentence), or what stands between groups of digits.
+DOTTED = rf"(?:\s*{OPEN}(?:{DOT}|\.){CLOSE}\s*|\s+(?:{DOT}|\.)\s+|\.)"
+JOINED = re.compile(rf"(?<!\w)(?:{WORD}|[0-9]+)(?:(?:{DOTTED}|[\s,()-]+)(?:{WORD}|[0-9]+))+(?!\w)", re.I)
+IS_DOT = re.compile(DOTTED, re.I)
 NUMERIC_DOT = re.compile(rf"(?<=[0-9])\s+{DOT}\s+(?=[0-9])", re.I)
 
 
@@ -147,20 +151,24 @@ def unmask_letters(tape: Tape) -> Tape:
     return tape.rewritten(edits)
 
 
-def unspell_digits(tape: Tape) -> Tape:
-    """Runs of at least four number words and digits, with at least two words, become digits, each in its word's span."""
+def unspell_digits(tape: Tape, joined: bool = False) -> Tape:
+    """Runs of at least four number words and digits, with at least two words, become digits, each in its word's span.
+
+    Joined runs go on across dots and round brackets, which stay, and one number word is enough.
+    """
     edits: list[tuple[int, int, str]] = []
     if ANY_WORD.search(tape.text):
-        for m in SPELLED.finditer(tape.text):
+        for m in (JOINED if joined else SPELLED).finditer(tape.text):
             parts = [(p.start(), p.end(), NUMBERS.get(p[0].lower(), p[0])) for p in PART.finditer(tape.text, m.start(), m.end())]
             words = sum(tape.text[s].isalpha() for s, _, _ in parts)
-            if words < 2 or sum(len(d) for _, _, d in parts) < 4:
+            if words < (1 if joined else 2) or sum(len(d) for _, _, d in parts) < 4:
                 continue
             for (s, e, d), nxt in zip(parts, [*parts[1:], None], strict=True):
                 if tape.text[s].isalpha():
                     edits.append((s, e, d))
                 if nxt and nxt[0] > e:
-                    edits.append((e, nxt[0], ""))
+                    between = tape.text[e : nxt[0]]
+                    edits.append((e, nxt[0], "." if joined and IS_DOT.fullmatch(between) else re.sub(r"[^()]", "", between)))
     tape = tape.rewritten(edits)
     if edits:
         tape = tape.rewritten([(m.start(), m.end(), "+") for m in PLUS.finditer(tape.text) if tape.text[m.end()] != "+"])
@@ -194,17 +202,28 @@ def unmask_signs(tape: Tape) -> Tape:
 # What a text needs for any identifier, and for any disguise: a fast first look at whole columns.
 PLAIN_LOOK = "[@0-9]"
 ODD_LOOK = "[^\\x00-\\x{24F}]|[" + "".join(c for c in [*HOMOGLYPHS, *INVISIBLE] if c < "\u0250") + "]"
+JOINED_LOOK = rf"(?i)(?:^|[^\pL\pN_])(?:(?:{WORD})(?:{DOTTED}|[\s,()-]+)(?:{WORD}|[0-9]+)|[0-9]+(?:{DOTTED}|[\s,()-]+)(?:{WORD}))(?:$|[^\pL\pN_])"
 SPELLED_LOOK = rf"(?i)(?:^|[^\pL\pN_])(?:{WORD}|[0-9]+)(?:[\s,-]+(?:{WORD}|[0-9]+)){{2}}(?:$|[^\pL\pN_])"
 MASK_LOOK = rf"(?i)[\[({{<]\s*(?:{AT}|{DOT}|@|\.)\s*[\])}}>]|\s{DOT}\s|\s@|@\s"
 
 
 def disguised(text: str) -> list[Span]:
-    """Identifiers that appear once the transducers have run, as source spans; none where these change nothing."""
+    """Identifiers that appear once the transducers have run, as source spans; none where these change nothing.
+
+    Numbers are read run by run first. What only joined runs show is added where nothing of its kind was found without joining.
+    """
     tape = Tape.of(text)
     if not text.isascii():
         tape = unmask_letters(tape)
-    tape = unmask_signs(unspell_digits(tape))
-    return [(k, *tape.source(s, e)) for k, s, e in plain(tape.text)] if tape.text != text else []
+    split, joined = (unmask_signs(unspell_digits(tape, j)) for j in (False, True))
+    found = [(k, *split.source(s, e)) for k, s, e in plain(split.text)] if split.text != text else []
+    if joined.text != split.text:
+        held = found + plain(text)
+        for k, s, e in plain(joined.text):
+            s, e = joined.source(s, e)
+            if k != "email" and not any(kind == k and a < e and s < b for kind, a, b in held):
+                found.append((k, s, e))
+    return found
 
 
 def spans(text: str | None, masked: bool = True) -> tuple[list[Span], list[Span]]:
@@ -224,7 +243,7 @@ def column_spans(column: pa.Array) -> list[tuple[list[Span], list[Span]]]:
     """spans() of each text; only texts that a look at the column has marked are gone through."""
     column = pc.fill_null(column, "")
     look = lambda pattern: pc.match_substring_regex(column, pattern).to_numpy(zero_copy_only=False)
-    masked = look(ODD_LOOK) | look(SPELLED_LOOK) | look(MASK_LOOK)
+    masked = look(ODD_LOOK) | look(SPELLED_LOOK) | look(JOINED_LOOK) | look(MASK_LOOK)
     some = masked | look(PLAIN_LOOK)
     out: list[tuple[list[Span], list[Span]]] = [([], [])] * len(column)
     for i in some.nonzero()[0].tolist():

@@ -92,6 +92,34 @@ def test_disguises_map_back(text, kind, part):
     assert part not in pii.redact(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("host one nine two dot one six eight dot one dot one is up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("host 192 dot one six eight dot 0 dot 1 is up", "ip", "192 dot one six eight dot 0 dot 1"),
+        ("host one nine two.168.one [dot] seven is up", "ip", "one nine two.168.one [dot] seven"),
+        ("host ten.oh.one.1 or one.one.one.one", "ip", "one.one.one.one"),
+        ("call plus one (five five five) one two three four five six seven now", "phone", "plus one (five five five) one two three four five six seven"),
+        ("call +1 555 five 12 34 56 now", "phone", "+1 555 five 12 34 56"),
+        ("card 4111 1111 1111 111 one ok", "card", "4111 1111 1111 111 one"),
+    ],
+)
+def test_spelled_runs_are_joined(text, kind, part):
+    at = text.index(part)
+    assert pii.spans(text) == ([], [(kind, at, at + len(part))]) and part not in pii.redact(text)
+    assert pii.column_spans(pa.array([text])) == [pii.spans(text)]
+
+
+def test_joined_runs_take_nothing_from_what_stands_alone():
+    for t in ["one two buckle my shoe", "he has one. Two of four five left", "one point five or two", "six (seven eight) nine ten"]:
+        assert pii.spans(t)[1] == []
+    card = "four one one one one one one one one one one one one one one one"
+    for t, s, e in [(f"{card} (one two three)", 0, len(card)), (f"{card}. Two of nine", 0, len(card))]:
+        assert pii.spans(t)[1] == [("card", s, e)]
+    assert pii.spans("ring +1 555 123 4567 one of us")[1] == [("phone", 5, 20)]
+    assert pii.spans("one " * 50_000 + "1 (" * 50_000 + " " * 100_000 + "x")[1] == []  # long runs stay linear
+
+
 def test_clean_text_stays():
     for t in ["we met at noon dot matrix", "He is at home. This is it", "one two buckle my shoe", "version 1.2.3.400 of 2024-01-01", ""]:
         assert pii.spans(t)[1] == []
