@@ -132,6 +132,43 @@ def test_language_model(spark):
         assert got[i].n_known == sum(c1[w] > 0 for w in s[1:])
 
 
+def brute_scores(train, texts):
+    """Scores under every n-gram up to three words, with one discount for each level."""
+    tokens = lambda t: [None, *(t or "").encode().lower().split(), None]
+    counts = [collections.Counter() for _ in range(3)]
+    for s in map(tokens, train):
+        counts[0].update(s[1:])
+        for k in (2, 3):
+            counts[k - 1].update(zip(*(s[i:] for i in range(k)), strict=False))
+    total, follow, off = collections.Counter(), collections.Counter(), {}
+    for k in (2, 3):
+        once, twice = (sum(x == m for x in counts[k - 1].values()) for m in (1, 2))
+        off[k] = once / (once + 2 * twice) if once and twice else 0.5
+        for g, x in counts[k - 1].items():
+            total[g[:-1]] += x
+            follow[g[:-1]] += 1
+    n, v = sum(counts[0].values()), len(counts[0])
+
+    def p(*g):
+        if len(g) == 1:
+            return (counts[0][g[0]] + 1) / (n + v + 1)
+        low, k = p(*g[1:]), len(g)
+        if g[:-1] not in total:
+            return low
+        return (max(counts[k - 1][g] - off[k], 0) + off[k] * follow[g[:-1]] * low) / total[g[:-1]]
+
+    return [sum(math.log10(p(*s[max(0, j - 2) : j + 1])) for j in range(1, len(s))) for s in map(tokens, texts)]
+
+
+def test_language_model_query_keeps_every_trigram(spark, tmp_path):
+    rows = corpus(60, 2)
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    train = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = dict(zip([i for i, _, _ in rows], brute_scores(train, [t for _, t, _ in rows]), strict=True))
+    for r in lm_score.op1_lm_score(spark, str(tmp_path)).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-3 * r.n_tokens
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], "text string")
     rows = lm_score.score(frame(spark, [(1, "a b", "s"), (2, None, "s")]), lm_score.train(empty)).collect()
