@@ -91,6 +91,17 @@ pattern(
 pattern("optional_classic", "MATCH (c:Customer) WHERE c.c_custkey <= 300 OPTIONAL MATCH (c)-[:PLACED]->(o) RETURN c.c_name AS name, o.o_orderkey AS ord", "SELECT c_name AS name, o_orderkey AS ord FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey <= 300")
 pattern("edge_types_open", "MATCH (o:Order {o_orderkey: 1})-[e:CONTAINS|SUPPLIED_BY]->(x) RETURN e AS edge, x AS id", "SELECT 'order:' || l_orderkey || '|CONTAINS|part:' || l_partkey || '|' || l_linenumber AS edge, 'part:' || l_partkey AS id FROM lineitem WHERE l_orderkey = 1 UNION ALL SELECT 'order:' || l_orderkey || '|SUPPLIED_BY|supplier:' || l_suppkey || '|' || l_linenumber, 'supplier:' || l_suppkey FROM lineitem WHERE l_orderkey = 1", rules="open")
 
+# the same over all customers
+
+pattern("cycle_open_all", "MATCH (c:Customer)-[:LOCATED_IN]->(n)<-[:BASED_IN]-(s), (s)-[:BASED_IN]->(n) RETURN c.c_name AS name, s.s_name AS supplier", "SELECT c_name AS name, s_name AS supplier FROM customer JOIN supplier ON s_nationkey = c_nationkey", rules="open")
+pattern(
+    "optional_open_all",
+    "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o) WHERE o.o_totalprice > 200000.0 RETURN c.c_name AS name, o.o_orderkey AS ord",
+    "SELECT c_name AS name, o_orderkey AS ord FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000",
+    rules="open",
+)
+pattern("optional_classic_all", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o) RETURN c.c_name AS name, o.o_orderkey AS ord", "SELECT c_name AS name, o_orderkey AS ord FROM customer JOIN orders ON o_custkey = c_custkey")
+
 # expressions and projections
 
 pattern("unwind", "UNWIND [1, 2, 3] AS x MATCH (r:Region) WHERE r.r_regionkey < x RETURN x, r.r_name AS region", "SELECT x::BIGINT AS x, r_name AS region FROM (SELECT unnest([1, 2, 3]) AS x), region WHERE r_regionkey < x")
@@ -119,6 +130,7 @@ def _kv_graph(spark: SparkSession, d: str) -> Graph:
 
 pattern("kv_lookup_join", "UNWIND ['R1', 'R2', 'R9'] AS k RETURN k, kv.get('names', k) AS v", "SELECT k, v FROM (SELECT unnest(['R1', 'R2', 'R9']) AS k) LEFT JOIN (SELECT 'R' || n_regionkey AS key, min(n_name) AS v FROM nation GROUP BY 1) ON k = key", graph=_kv_graph)
 pattern("zset_score_join", "MATCH (c:Customer) WHERE c.c_custkey < 100 RETURN c.c_name AS name, zset.score('bal', 'all', c.c_name) AS score", "SELECT c_name AS name, c_acctbal AS score FROM customer WHERE c_custkey < 100", graph=_kv_graph)
+pattern("zset_score_join_all", "MATCH (c:Customer) RETURN c.c_name AS name, zset.score('bal', 'all', c.c_name) AS score", "SELECT c_name AS name, c_acctbal AS score FROM customer", graph=_kv_graph)
 
 # vectors: the query vector is that of vec_id 0
 
@@ -396,6 +408,11 @@ def _ewma(spark, d):
     return statistics.smoothed(table(spark, d, "events").where("user_id < 40"), ["user_id"], "ts", "value").select("user_id", F.round("ewma", 6).alias("ewma"))
 
 
+@query("ewma_rtt_all", "WITH x AS (SELECT user_id, list(value ORDER BY ts, value) AS v FROM events GROUP BY 1) SELECT user_id, round(list_reduce(v, lambda s, a: 0.8 * s + 0.2 * a), 6) AS ewma FROM x")
+def _ewma_all(spark, d):
+    return statistics.smoothed(table(spark, d, "events"), ["user_id"], "ts", "value").select("user_id", F.round("ewma", 6).alias("ewma"))
+
+
 @query("latency_histogram", "SELECT event_type, CASE WHEN v < 8 THEN v ELSE (floor(log2(v))::INTEGER - 2) * 8 + floor(v / pow(2, floor(log2(v)) - 3))::INTEGER - 8 END::INTEGER AS bucket, count(*) AS n FROM (SELECT event_type, floor(value)::BIGINT AS v FROM events) GROUP BY ALL")
 def _hist(spark, d):
     return statistics.histogram(table(spark, d, "events"), ["event_type"], "value")
