@@ -54,9 +54,10 @@ def digest(part: np.ndarray) -> bytes:
 def signed(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
     """(id, n, node, signature): n distinct shingles, the set's 128-bit digest, (coordinate, value) pairs as longs.
 
-    node and signature are null for a text without words.
+    node and signature are null for a text without words. A third column of docs, `mark`, is passed on.
     """
     kind = docs.schema["id"].dataType.simpleString()
+    marks = docs.columns[2:]
 
     def run(batches):
         flip, odd = multipliers(coordinates * MINIMA)
@@ -78,9 +79,9 @@ def signed(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
             size = np.concatenate(n) if n else np.zeros(0, np.int64)
             flat = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int64)
             offsets = pa.array(np.arange(len(size) + 1, dtype=np.int32) * coordinates)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(node, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["id", "n", "node", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(node, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat)), *batch.columns[2:]], ["id", "n", "node", "signature", *marks])
 
-    return docs.mapInArrow(run, f"id {kind}, n bigint, node binary, signature array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, n bigint, node binary, signature array<bigint>" + "".join(f", {m} bigint" for m in marks))
 
 
 def parity(part: np.ndarray) -> bytes:
@@ -193,18 +194,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, matches: int = MATCHES, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, matches: int = MATCHES, rounds: int = 3, mark: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept): documents linked when 100 * |A and B| >= percent * |A or B|.
 
     component_id is the smallest id that links lead to, itself included; kept marks the row with that id.
     A text that is null or without words has no shingles and is linked with nothing. Equal texts are
     linked, so of repeated rows all have one component. A null id is never a component's id unless all
     its members' ids are null; such rows and rows alone are kept. Other columns play no part. An empty
-    table gives an empty table.
+    table gives an empty table. With `mark`, a column of that name holds each text's xxhash64.
     """
     ready(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = staged(signed(docs, shingle, coordinates), "signatures")
+    base = staged(signed(docs.withColumn("mark", F.xxhash64("text")) if mark else docs, shingle, coordinates), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "n", "signature"))  # an id is null only where the whole class has none
     classes = base.where("n > 0").groupBy("node").agg(first.alias("x")).select("node", "x.id", "x.signature")
     classes = staged(classes, "classes")
@@ -232,14 +233,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             sets = sets.unionByName(full_sets(texts, shingle).join(nameless, "node", "left_semi").dropDuplicates(["node"]))
         sets = staged(sets, "sets")
         found = link(posts, alive.select("node", "signature"), sets, percent, matches, rounds)
-    members = base.select("id", "n", "node")
+    members = base.drop("signature")
     if found is None:
         done = members.withColumn("root", F.col("node"))
     else:
         done = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = done.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     out = done.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *([F.col("mark").alias(mark)] if mark else []))
 
 
 def link(posts: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, matches: int, rounds: int) -> DataFrame | None:

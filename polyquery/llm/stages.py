@@ -11,10 +11,10 @@ from polyquery.llm.shared import ready, staged
 BROADCAST_ROWS = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the ids listed: broadcast up to BROADCAST_ROWS of them, beyond that joined by a shuffle."""
-    ids = staged(ids.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, id_col, "left_anti").select(docs.columns)
+def without(docs: DataFrame, ids: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs without the ids, or ids and other keys, listed: broadcast up to BROADCAST_ROWS of them, beyond that joined by a shuffle."""
+    ids = staged(ids.select(*keys).where("doc_id is not null").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, list(keys), "left_anti").select(docs.columns)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
@@ -27,9 +27,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFra
 
 
 def drop_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id; rows without an id all stay."""
-    found = staged(near_dedup.near_duplicates(docs, shingle, percent), "groups")
-    left = without(docs, found.where(~F.col("kept")))
+    """One document of each group of near duplicates stays, the one with the smallest id; rows without an id all stay.
+
+    Rows go by id and text: a row isn't dropped for another text under its id.
+    """
+    found = staged(near_dedup.near_duplicates(docs, shingle, percent, mark="_mark"), "groups")
+    left = without(docs.withColumn("_mark", F.xxhash64("text")), found.where(~F.col("kept")), ("doc_id", "_mark")).select(docs.columns)
     twice = staged(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "ids")
     if twice.isEmpty():
         return left

@@ -280,6 +280,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert out.count() > 0 and "sequence_id" in out.columns
 
 
+def test_copies_go_by_row(spark):
+    """A near copy goes, another text under the same id stays, also where that text repeats or is null."""
+    words = [f"w{i}" for i in range(60)]
+    text, near, clean = " ".join(words), " ".join([*words[:-1], "other"]), "a clean text of its own that nobody copied"
+    rows = [(3, text, "s"), (5, near, "s"), (5, clean, "s"), (5, clean, "s"), (5, None, "s"), (None, near, "s")]
+    assert sorted(((r.doc_id, r.text) for r in stages.drop_copies(frame(spark, rows)).collect()), key=repr) == sorted([(3, text), (5, clean), (5, None), (None, near)], key=repr)
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     docs = frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
