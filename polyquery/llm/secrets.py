@@ -31,6 +31,9 @@ HARMLESS = re.compile(r"(?:commit|sha\d*|md5|checksum|digest|hash|uuid|guid|etag
 PREFIX = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk[-_](?:live|test|proj)?|pk_live|rk_live|AIza|ya29|eyJ|SG\.|npm_|pypi-|dop_v1|hf_)")
 LOOK = r"[0-9][A-Za-z+/_.~-]|[A-Za-z+/_.~-][0-9]|" + PREFIX.pattern.removeprefix("^")
 ASSIGNED = re.compile(r"[=:]\s*[\"']?$|\s(?:is|bearer)\s+[\"']?$", re.I)
+# The whole value after an assignment to a name that ends in a keyword: in quotes up to the closing one, else up to white space.
+NAMED = rf"{KEYWORDS.pattern}[\"']?\s{{0,3}}[:=]\s{{0,3}}"
+VALUE = re.compile(rf"{NAMED}(?:\"([^\"\n]{{8,}})\"|'([^'\n]{{8,}})'|([^\s\"'`<>]{{8,}}))", re.I)
 DICTIONARY = frozenset(
     "the and for are but not you all any can had her was one our out day get has him his how man new now old see two way who boy did its let put say she too use about above access account action after again also another application archive article back base beta book build call case change check class client close code config connect content control core count create current data date default delete demo design detail device document down draft each east edit element email end error event example export feature field file final find first flag folder form format from full group guide handle header help home host html http icon image import index info input install item java json just keep key kind last level library light line link linux list load local lock login long main make manual map master member menu message mobile model module month more move music name need network next node none north note number object office open option order other output over package page paper part path phone photo picture plan play plugin point post power print product profile project public query read record release remove report request reset response result review right room root route rule sample save scan schema script search section select server service session set setting share show side sign simple site size small source south staff start state static step stop store string style summary support system table target task team temp test text theme then this time title tool top total trace track transfer tree type under unit update upload user value version video view week west when window with work world write year your".split()
 )
@@ -108,6 +111,18 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def values(text: str) -> list[tuple[int, int]]:
+    """Whole values that are assigned to a keyword's name, without the punctuation that ends an unquoted one."""
+    out = []
+    for m in VALUE.finditer(text):
+        s, e = m.span(m.lastindex)
+        if m.lastindex == 3:
+            e = s + len(m[3].rstrip(".,;:)]}"))
+        if e - s >= 8:
+            out.append((s, e))
+    return out
+
+
 def labelled_findings(n: int = 4000, seed: int = 20240229) -> list[Finding]:
     """Findings made by rule from a seed: half secrets (1), half strings that look like them (0)."""
     r = random.Random(seed)
@@ -160,6 +175,28 @@ def labelled_findings(n: int = 4000, seed: int = 20240229) -> list[Finding]:
     return out
 
 
+def assigned_findings(n: int = 600, seed: int = 20240301) -> list[Finding]:
+    """Values beside a keyword, from a seed: half passphrases and values of mixed signs (1), half plain words (0)."""
+    r = random.Random(seed)
+    known = sorted(DICTIONARY)
+    out: list[Finding] = []
+    while len(out) < n:
+        label = len(out) % 2
+        name = r.choice("password passwd pwd secret token api_key client_secret auth".split())
+        if label and r.random() < 0.5:
+            value = "-".join(r.choice(known) for _ in range(r.randint(3, 4)))
+        elif label:
+            value = "".join(r.choice(string.ascii_letters + string.digits + "!@#$%&*") for _ in range(r.randint(8, 16)))
+        else:
+            value = r.choice(known) + r.choice(("", "", *known[:200])) + r.choice(("ing", "ed", "ation", "able", ""))
+        if len(value) < 8:
+            continue
+        quote = r.choice(("", '"', "'")) if label else ""
+        lead = f"{r.choice(known)} {name}{r.choice(('=', ' = ', ': ')) if label else ': '}{quote}"
+        out.append((f"{lead}{value}{quote} {r.choice(known)}", len(lead), len(lead) + len(value), label))
+    return out
+
+
 class Forest:
     """Trees on bootstrap samples; each node takes the best cut (Gini) among a few random features and quantiles."""
 
@@ -225,7 +262,7 @@ def train(findings: list[Finding]) -> Forest:
 
 @lru_cache
 def default_forest() -> Forest:
-    return train(labelled_findings())
+    return train(labelled_findings() + assigned_findings())
 
 
 def column_findings(column: pa.Array, forest: Forest) -> list[list[tuple[int, int, float]]]:
@@ -233,13 +270,17 @@ def column_findings(column: pa.Array, forest: Forest) -> list[list[tuple[int, in
     column = pc.fill_null(column, "")
     out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(column))]
     found, rows = [], []
-    for i in pc.match_substring_regex(column, LOOK).to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+    look = pc.or_(pc.match_substring_regex(column, LOOK), pc.match_substring_regex(column, f"(?i){NAMED}"))
+    for i in look.to_numpy(zero_copy_only=False).nonzero()[0].tolist():
         text = column[i].as_py()
-        for s, e in candidates(text):
+        for s, e in sorted({*candidates(text), *values(text)}, key=lambda x: (x[0], -x[1])):
             found.append((i, s, e))
             rows.append(describe(text, s, e))
     if rows:
         for (i, s, e), p in zip(found, forest.score(np.array(rows, float)).tolist(), strict=True):
+            if out[i] and s < out[i][-1][1]:  # runs that overlap are one candidate, with the highest score
+                s, e, p = out[i][-1][0], max(e, out[i][-1][1]), max(p, out[i][-1][2])
+                out[i].pop()
             out[i].append((s, e, p))
     return out
 

@@ -204,6 +204,18 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("value", ['"correct-horse-battery"', '"P@ssw0rd!x"', "Tr0ub4dor&3xyz", "'a b!c d$e%f'"])
+def test_assigned_values_are_whole(spark, value):
+    text = f"set password={value} here"
+    clean = secrets.redacted(frame(spark, [text])).where("doc_id = 0").first().text
+    assert clean == text.replace(value.strip("\"'"), "[secret]")
+
+
+def test_words_beside_keywords_stay(spark):
+    texts = ["the secret: something nice", "a password: required field", "token: invalid", "the author: somebody"]
+    assert {r.n_secrets for r in secrets.scan(frame(spark, texts)).collect()} == {0}
+
+
 def test_plain_addresses_are_the_patterns_and_linear():
     plain, r = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), random.Random(5)
     for _ in range(20_000):
