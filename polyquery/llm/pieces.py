@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from polyquery.llm.words import CODE, U64, chunks, mix, span_hashes, text_bytes
+from polyquery.llm.words import chunks, span_hashes, text_bytes
 
 CHUNK = 4 << 20
 
@@ -90,7 +90,7 @@ class TokenCounter:
             counts = self.encode(texts)
             proven = [t for t, n in zip(texts, counts, strict=True) if n == 1]
             data, offsets = text_bytes(pa.array(proven, pa.string()))
-            hashes = span_hashes(CODE[data], offsets[:-1], offsets[1:])
+            hashes = span_hashes(data, offsets[:-1], offsets[1:])
             self.table.put(hashes, np.ones(len(hashes), np.int64))
             self.table.keep()
             self.whole = len(proven)
@@ -132,7 +132,7 @@ class TokenCounter:
         lines = line[starts]
         tokens = np.ones(len(starts), np.int64)
         starts, ends, some = starts[~lines], ends[~lines], np.flatnonzero(~lines)
-        codes, distinct, first = firsts(span_hashes(CODE[buf], starts, ends))
+        codes, distinct, first = firsts(span_hashes(buf, starts, ends))
         if self.table.full(len(distinct)):
             self.table.clear()
         known = self.table.get(distinct)
@@ -222,7 +222,7 @@ class IdEncoder:
         if hard.any():
             easy = ~hard[doc]
             starts, ends, doc = starts[easy], ends[easy], doc[easy]
-        codes, distinct, first = firsts(span_hashes(mix(cp.astype(U64) + U64(1)), starts, ends))
+        codes, distinct, first = firsts(span_hashes(np.minimum(cp, EASY).astype("<u2").view(np.uint8), 2 * starts, 2 * ends))
         if self.table.full(len(distinct)):
             self.clear()
         known = self.table.get(distinct)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyquery.llm.shared import documents, ready
-from polyquery.llm.words import CODE_LOWER, chunks, find_words, span_hashes, text_bytes
+from polyquery.llm.words import LOWER, chunks, find_words, span_hashes, text_bytes
 
 TRAIN_ROWS = 20_000  # the bounded sample of labelled rows that a model is fitted to
 
@@ -51,7 +51,7 @@ def some_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     starts, ends, first = find_words(data, offsets)
     words = np.diff(first)
-    hashes = span_hashes(CODE_LOWER[data], starts, ends)
+    hashes = span_hashes(LOWER[data], starts, ends)
     doc = np.repeat(np.arange(n), words)
     last, second = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
     last[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])

@@ -15,16 +15,20 @@ from pyspark.sql import Window as W
 BATCH_BYTES = 8 << 20
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (local runs and tests) a temporary folder that is then set."""
+    """spark.checkpoint.dir; where it is unset (local runs and tests) a temporary folder, the same for the whole application."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own.get(spark.sparkContext.applicationId)
+    if not found:
         own = tempfile.mkdtemp(prefix="polyquery-")
         atexit.register(shutil.rmtree, own, True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[spark.sparkContext.applicationId] = f"file://{own}"
     return found.rstrip("/")
 
 
@@ -42,6 +46,20 @@ def staged(df: DataFrame, what: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes files and folders, wherever Spark can write them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes staged tables that no later step reads."""
+    for t in tables:
+        if t is not None:
+            remove(t.sparkSession, *{f.rsplit("/", 1)[0] for f in t.inputFiles()})
+
+
 def local_path(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
@@ -71,7 +89,7 @@ def map_file(uri: str):
 
     if at := local_path(uri):
         with open(at, "rb") as f:
-            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(uri)
@@ -79,7 +97,7 @@ def map_file(uri: str):
         while block := src.read(8 << 20):
             f.write(block)
         f.flush()
-        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
 
 
 def running(df: DataFrame, keys: list[str], by: Column, order: list[Column], weight: Column, name: str, rows_per_bucket: int = 2_000, rows: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,29 +25,30 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CODE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-CODE_LOWER = CODE[LOWER]
-BASE = 0xD1342543DE82EF95
-_powers: list[np.ndarray] = []
+SEED, ODD = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+SHORT = 64  # bytes; longer spans are hashed one by one
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse's, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, (1 << 20))
-        steps = [np.full(size + 1, b, U64) for b in (BASE, pow(BASE, -1, 1 << 64))]
-        for x in steps:
-            x[0] = 1
-        _powers[:] = [np.cumprod(x, dtype=U64) for x in steps]
-    return _powers[0], _powers[1]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes data[start:end].
 
-
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of codes[start:end]: a polynomial in BASE from prefix sums, then mixed with the length."""
-    forth, back = powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * forth[: len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+    Eight bytes at a time are put into a state that starts from the length and is mixed after each, so that
+    no arrangement of letters cancels out as it does in a polynomial; spans beyond SHORT bytes get BLAKE2b.
+    """
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mix(eight[starts] & MASKS[np.minimum(size, 8)] ^ mix(size.astype(U64) * ODD + SEED))
+    more = np.flatnonzero((size > 8) & (size <= SHORT))
+    done = 8
+    while len(more):
+        h[more] = mix(eight[starts[more] + done] & MASKS[np.minimum(size[more] - done, 8)] ^ h[more])
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,12 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (A-Z lower-cased) and the number of words before each document (n+1)."""
     starts, ends, first = find_words(data, offsets)
-    return span_hashes((CODE_LOWER if lower else CODE)[data], starts, ends), first
+    return span_hashes(LOWER[data] if lower else data, starts, ends), first
+
+
+def step(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The next state of a hash over a sequence of word hashes."""
+    return (h ^ h >> U64(32)) * ODD + word
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +109,21 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     before = np.concatenate(([0], np.cumsum(n)))
     at = np.repeat(first[:-1] - before[:-1], n) + np.arange(before[-1])
     doc = np.repeat(np.arange(len(n)), n)
-    end = np.minimum(at + k, np.repeat(first[1:], n))
-    hashed = span_hashes(words, at, end)
+    hashed = np.zeros(len(at), U64)
+    windows = len(words) - k + 1
+    if windows > 0:  # of all windows, those across documents play no part
+        h = words[:windows].copy()
+        for j in range(1, k):
+            h = step(h, words[j : j + windows])
+        whole = (count >= k)[doc]
+        hashed[whole] = mix(h[at[whole]])
+    few = np.flatnonzero((count > 0) & (count < k))
+    if len(few):
+        h, at = words[first[few]].copy(), first[few]
+        for j in range(1, k - 1):
+            inside = np.flatnonzero(count[few] > j)
+            h[inside] = step(h[inside], words[at[inside] + j])
+        hashed[before[few]] = mix(h + count[few].astype(U64) * SEED)
     order = np.lexsort((hashed, doc))
     hashed, doc = hashed[order], doc[order]
     keep = np.ones(len(hashed), bool)

@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from polyquery.llm import cover_search, lm_score, mixing, near_dedup, packing, stages
-from polyquery.llm.pieces import IdEncoder
+from polyquery.llm.pieces import IdEncoder, TokenCounter
 
 COLS = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, key string, size string"
 
@@ -92,44 +92,22 @@ def test_near_duplicates_of_rows_without_id(spark):
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize(("a_file", "block"), [(lm_score.TOKENS_A_FILE, lm_score.TOKENS), (40, 16), (300, 1)])
+def test_language_model(spark, a_file, block):
+    """All outputs against brute force; also with many files, texts that go on over blocks, and words whose followers are split."""
     rows = corpus(60, 2)
     train = [t for i, t, _ in rows if i % 3]
-    model = lm_score.train(spark.createDataFrame([(t,) for t in train], "text string"))
-    got = {r.doc_id: r for r in lm_score.score(frame(spark, rows), model).collect()}
-    c1, c2, c3 = (collections.Counter() for _ in range(3))
+    model = lm_score.train(spark.createDataFrame([(t,) for t in train], "text string"), a_file, block)
+    assert a_file > 10_000 or len(model[2]) > 3
+    got = {r.doc_id: r for r in lm_score.score(frame(spark, rows), model, block_size=block).collect()}
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
-    for t in train:
-        s = tokens(t)
-        c1.update(s)
-        c2.update(zip([None, *s], s, strict=False))
-    for t in train:
-        s = [None, *tokens(t)]
-        c3.update(x for x in zip(s, s[1:], s[2:], strict=False) if c2[x[:2]] >= 2)
+    c1 = collections.Counter(w for t in train for w in tokens(t))
     n, v = sum(c1.values()), len(c1)
-    off, total, follow = {}, collections.Counter(), collections.Counter()
-    for c in (c2, c3):
-        once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
-        for g, x in c.items():
-            off[len(g)] = once / (once + 2 * twice) if once and twice else 0.5
-            total[g[:-1]] += x
-            follow[g[:-1]] += 1
-
-    def p(w, *context):
-        if not context:
-            return (c1[w] + 1) / (n + v + 1)
-        low = p(w, *context[1:])
-        if context not in total:
-            return low
-        g = (*context, w)
-        return (max((c2 if len(g) == 2 else c3)[g] - off[len(g)], 0) + off[len(g)] * follow[context] * low) / total[context]
-
-    for i, t, _ in rows:
-        s = [None, *tokens(t)]
-        want = sum(math.log10(p(s[j], *s[max(0, j - 2) : j])) for j in range(1, len(s)))
-        assert abs(got[i].score - want) < 1e-3 * len(s) and got[i].train_tokens == n and got[i].n_tokens == len(s) - 1
-        assert abs(got[i].base_score - sum(math.log10(p(w)) for w in s[1:])) < 1e-9
-        assert got[i].n_known == sum(c1[w] > 0 for w in s[1:])
+    for (i, t, _), want in zip(rows, brute_scores(train, [t for _, t, _ in rows]), strict=True):
+        s = tokens(t)
+        assert abs(got[i].score - want) < 1e-3 * (len(s) + 1) and got[i].train_tokens == n and got[i].n_tokens == len(s)
+        assert abs(got[i].base_score - sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in s)) < 1e-9
+        assert got[i].n_known == sum(c1[w] > 0 for w in s)
 
 
 def brute_scores(train, texts):
@@ -295,6 +273,25 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_collide_under_a_polynomial(spark, n):
+    """The Thue-Morse word and its mirror are two words to every operator."""
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    rows = [(1, f"{one} x y z u v", "s"), (2, f"{two} x y z u v", "s"), (3, f"{two} only", "s")]
+    near = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), shingle=2, percent=90).collect()}
+    assert near == {1: 1, 2: 2, 3: 3}
+    got = {r.doc_id: r for r in lm_score.score(frame(spark, rows), lm_score.train(spark.createDataFrame([(rows[0][1],)], "text string"))).collect()}
+    assert (got[1].n_known, got[2].n_known, got[3].n_known) == (7, 6, 1)
+    enc, count = IdEncoder(P.path("byte_bpe_50k.json")), TokenCounter(P.path("piece_bpe_32k.model"))
+    texts = [one, two, one + two, " " + two]
+    assert [list(x) for t in texts for x in enc.ids([t])] == enc.library(texts)
+    assert [int(count.counts(pa.array([t]))[0]) for t in texts] == [len(count.sp.encode(t)) for t in texts]
+
+
 def test_arrow_text_without_nulls_or_values():
     from polyquery.llm.words import text_bytes
 
