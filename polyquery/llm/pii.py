@@ -59,7 +59,7 @@ def plain(text: str) -> list[Span]:
     out: list[Span] = [("email", s, e) for s, e in emails(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := part.lstrip("0")) < 4 and int(p or 0) <= 255 for part in m[0].split(".")):
                 out.append(("ip", *m.span()))
         for m in CARD.finditer(text):
             digits = re.sub(r"[^0-9]", "", m[0]) if m.end() - m.start() < 64 else ""
@@ -97,7 +97,7 @@ PART = re.compile(rf"{WORD}|[0-9]+", re.I)
 PLUS = re.compile(r"(?<!\w)(?:plus)\s+(?=\+?[0-9])", re.I)
 OPEN, CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 AT, DOT = r"(?:at|arroba|chez|klammeraffe)", r"(?:dot|punkt|punto|point)"
-BRACKETED = re.compile(rf"(?P<at>\s*{OPEN}(?:{AT}|@){CLOSE}\s*)|(?P<dot>\s*{OPEN}(?:{DOT}|\.){CLOSE}\s*)", re.I)
+BRACKETED = re.compile(rf"(?P<at>{OPEN}(?:{AT}|@){CLOSE})|(?P<dot>{OPEN}(?:{DOT}|\.){CLOSE})", re.I)  # white space around it is taken by hand, which stays linear
 SPOKEN = re.compile(rf"(?<![\w.%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\s+{DOT}\s+)[A-Za-z0-9_%+-]+){{0,4}})(?:\s+{AT}\s+|\s*@\s*)([A-Za-z0-9-]+)((?:(?:\s+{DOT}\s+|\.)[A-Za-z0-9-]+){{1,4}})(?![\w-])", re.I)
 HINT = re.compile(rf"{OPEN}(?:{AT}|{DOT}|@|\.){CLOSE}|(?<!\w){DOT}(?!\w)|\s@|@\s", re.I)
 # Top-level names at which a spoken address may end.
@@ -180,8 +180,16 @@ def unmask_signs(tape: Tape) -> Tape:
     """Bracketed at and dot become signs; spoken ones do inside a whole spoken address (a name, at, names joined by dot)."""
     if not HINT.search(tape.text):
         return tape
-    tape = tape.rewritten([(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(tape.text)])
-    edits = []
+    edits, done = [], 0
+    for m in BRACKETED.finditer(tape.text):
+        s, e = m.span()
+        while s > done and tape.text[s - 1].isspace():
+            s -= 1
+        while e < len(tape.text) and tape.text[e].isspace():
+            e += 1
+        edits.append((s, e, "@" if m["at"] else "."))
+        done = e
+    tape, edits = tape.rewritten(edits), []
     for m in SPOKEN.finditer(tape.text):
         written = m[0]
         if not re.search(r"\s", written):

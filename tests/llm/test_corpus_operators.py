@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from polyquery.llm import cover_search, lm_score, mixing, near_dedup, packing, stages
@@ -172,6 +173,52 @@ def test_cover_search(spark):
     assert len(cover_search.search(few, few.where("vec_id = 20")).collect()) == 2
 
 
+def brute_search(rows, asked, k, scale=64):
+    """[(query, [(score, id), ...])] of whole-number vectors of one dimension each."""
+    fine = [(i, [math.floor(scale * x) for x in v]) for i, v in rows]
+    out = []
+    for q, v in [x for x in fine if x[0] in asked]:
+        scores = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in fine if i != q and len(x) == len(v))
+        out.append((q, [(-s, i) for s, i in scores[:k]]))
+    return sorted(out)
+
+
+def found_by(df, asked, **more):
+    got = collections.defaultdict(list)
+    for r in sorted(cover_search.search(df, df.where(F.col("vec_id").isin(asked)), **more).collect(), key=lambda r: r.rank):
+        got[r.query_id].append((r.score, r.vec_id))
+    return sorted(got.items())
+
+
+def test_cover_search_of_large_and_uneven_vectors(spark):
+    """Scores up to 62 bits are exact, larger ones an error; vectors of other lengths are not run together."""
+    r = random.Random(2)
+    rows = [(i, [float(r.randint(-(10**6), 10**6)) for _ in range(3 if i % 3 else 5)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert found_by(df, [0, 1, 2, 60], k=5, scale=64) == brute_search(rows, {0, 1, 2, 60}, 5)
+    big = [(i, [r.uniform(1e7, 2.5e7) for _ in range(4)]) for i in range(50)]
+    df = spark.createDataFrame(big, "vec_id bigint, embedding array<double>")
+    assert found_by(df, [0, 20], k=5, scale=32) == brute_search(big, {0, 20}, 5, 32)
+    tree = cover_search.CoverTree(np.full((3, 4), 3 * 10**9))
+    with pytest.raises(ValueError):
+        cover_search.dual_search(tree, tree, np.arange(3), np.arange(3), 2, np.full(3, cover_search.LEAST))
+
+
+def test_cover_search_sends_little_on_clusters(spark, monkeypatch):
+    """On clustered vectors a query goes to the few parts that its bound allows, not to all."""
+    monkeypatch.setattr(cover_search, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, (centres[i % 20] + 0.03 * rng.standard_normal(16)).tolist()) for i in range(2000)]
+    sent, met = [], cover_search.met
+    monkeypatch.setattr(cover_search, "met", lambda v, a, k: (sent.append(a.count()), met(v, a, k))[1])
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = list(range(0, 2000, 20))
+    assert found_by(df, asked, k=10) == brute_search(rows, set(asked), 10)
+    assert sent[0] == 100 and sent[1] < 100 * 40 // 4
+
+
 def test_packing(spark):
     rows = [*corpus(60, 4), (900, "word " * 3000, "s"), (901, "word " * 3000, "s"), (901, "word " * 3000, "s"), (None, "x y", "s")]
     path = P.path("byte_bpe_50k.json")

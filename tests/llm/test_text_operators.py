@@ -222,3 +222,30 @@ def test_plain_addresses_are_the_patterns_and_linear():
         t = "".join(r.choice("123...0 a") for _ in range(r.randint(0, 25)))
         assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in plain.finditer(t)]
     assert pii.spans("7" * 300_000 + " a@b.co")[0] == [("email", 300_001, 300_007)]
+
+
+def brute_spans(text):
+    """What the patterns find, each from left to right, with their checks."""
+    digits = lambda t: [int(c) for c in t if c in "0123456789"]
+    luhn = lambda d: sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+    card = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    phone = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m[0])) <= 15]
+    ip = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    return sorted([("email", *m.span()) for m in EMAIL.finditer(text)] + [("ip", *s) for s in ip] + [("card", *s) for s in card] + [("phone", *s) for s in phone])
+
+
+def test_plain_spans_are_the_patterns():
+    r = random.Random(6)
+    parts = ["+1", "4111 1111 1111 1111", "4111-1111-1111-111", "5500000000000004", "(555)", "555-0100", " ", "-", ".", "1.2.3.4", "0001.2.03.255", "a@b.co", "7", "00", "x", "+49 30 1234567", "378282246310005"]
+    for _ in range(20_000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
+        assert sorted(pii.spans(t, masked=False)[0]) == brute_spans(t), t
+
+
+def test_long_runs_of_one_kind():
+    """Megabytes of blanks, digits, zeros or brackets are gone through in linear time and don't fail."""
+    zeros = "0" * 5000 + "1.2.3.4"
+    assert pii.spans(zeros) == ([("ip", 0, len(zeros))],) * 2
+    for run in (" " * 1_000_000, "\n" * 1_000_000, "0" * 1_000_000, "( " * 400_000, " @" * 300_000, "1 " * 300_000, "+1-" * 300_000, "a." * 400_000, "at " * 300_000):
+        found = pii.spans(f"x (at) y{run}joe (at) mail [dot] org")[1]
+        assert any(k == "email" for k, _, _ in found), run[:4]
