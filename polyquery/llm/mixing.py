@@ -56,13 +56,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken is the words that the mix takes of the document, repeats counted; over a source they sum to its
     target, rounded. positions has the training time of each repeat, the last of which may be cut short.
     A null text has size 0 and is never taken; a null source is a source, after all others. Rows with
-    equal ids are laid out next to each other. The order within a source is that of a hash of the id, so
-    reruns agree. An empty table gives an empty table.
+    equal ids count each on its own. The order within a source is that of a hash of id and text, so
+    reruns agree; rows that are equal in both are laid out next to each other. An empty table gives an empty table.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *[c.alias(k) for k, c in (extra or {}).items()]), "sizes")
+    rows = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("spread"), *[c.alias(k) for k, c in (extra or {}).items()]), "sizes")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
-    laid = running(rows, ["source"], F.xxhash64("id"), [F.xxhash64("id"), F.col("id"), F.col("size")], F.col("size"), "before", rows=rows.count())
+    laid = running(rows, ["source"], F.col("spread"), [F.col("spread"), F.col("id"), F.col("size")], F.col("size"), "before", rows=rows.count())
     laid = laid.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     goal = F.round("target").cast("bigint")
     repeat = F.sequence(F.lit(0), F.lit(repeats - 1))

@@ -5,6 +5,8 @@ Documents are cut into full sequences and one remainder each. The histogram of r
 patterns (multisets of lengths that fit one sequence), whose columns are priced by a knapsack dynamic
 program under the duals. Rounded-down pattern counts and a best-fit of what is left become intervals
 of ranks; each piece finds its sequence and offset from its rank among the pieces of its length.
+Where documents have positions in a curriculum, their order is cut into parts that are packed one after
+another, and ranks follow the positions, so that sequences come in the order of the documents they hold.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from polyquery.llm.pieces import IdEncoder
 from polyquery.llm.shared import documents, ready, running, staged
 
+PARTS = 8  # parts of a curriculum that are packed one after another
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -30,9 +33,9 @@ def encoder(tokenizer: str) -> IdEncoder:
     return IdEncoder(tokenizer)
 
 
-def cut(docs: DataFrame, tokenizer: str, size: int, end: int, id_col: str, text_col: str) -> DataFrame:
-    """Pieces of the id sequences: full ones of `size` ids, then the remainder."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def cut(docs: DataFrame, tokenizer: str, size: int, end: int, id_col: str, text_col: str, position: Column) -> DataFrame:
+    """Pieces of the id sequences: full ones of `size` ids, then the remainder, each with its document's position."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), position.cast("bigint").alias("position"))
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -47,9 +50,9 @@ def cut(docs: DataFrame, tokenizer: str, size: int, end: int, id_col: str, text_
                     which.append(i)
                     rows.append((s, m, zlib.crc32(raw[4 * s : 4 * (s + m)]), n))
             cols = np.array(rows, np.int64).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), *map(pa.array, np.ascontiguousarray(cols))], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at := pa.array(which, pa.int64())), *map(pa.array, np.ascontiguousarray(cols)), b.column(2).take(at)], ["id", "start", "length", "ids_crc32", "doc_tokens", "position"])
 
-    return docs.mapInArrow(run, f"id {kind}, {PIECE}")
+    return docs.mapInArrow(run, f"id {kind}, {PIECE}, position bigint")
 
 
 def knapsack(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[float, np.ndarray]:
@@ -149,8 +152,9 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, size: int) -> list[tuple[np.
     return out
 
 
-def intervals(histogram: dict[int, int], size: int) -> dict[str, np.ndarray]:
-    """Rank intervals: pieces of `length` with ranks from `first` on go to sequences from `sequence` on, in place `offset`.
+def intervals(histogram: dict[int, int], size: int) -> tuple[dict[str, np.ndarray], int]:
+    """Rank intervals: pieces of `length` with ranks from `first` on go to sequences from `sequence` on, in place `offset`;
+    and the number of sequences.
 
     At most one row for each slot of each pattern; their number depends on `size`, not on the corpus.
     """
@@ -169,10 +173,10 @@ def intervals(histogram: dict[int, int], size: int) -> dict[str, np.ndarray]:
                 offset += int(lengths[j])
         sequence += times
     rows.sort()
-    return dict(zip(("length", "first", "sequence", "offset"), np.array(rows, np.int64).T, strict=True))
+    return dict(zip(("length", "first", "sequence", "offset"), np.array(rows, np.int64).T, strict=True)), sequence
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 0, grain: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 0, grain: int = 4, id_col: str = "doc_id", text_col: str = "text", position: Column | None = None, rows: int = 0, parts: int = PARTS) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
     A null or empty text is one piece that holds the end id alone. Repeated rows are packed each on its
@@ -180,19 +184,37 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 0, grain:
     part. An empty table gives an empty table. Sequences are numbered from 0; pieces tile each from offset 0.
     Patterns are made of lengths rounded up to `grain`, which keeps the linear program small and costs
     less than `grain` ids of padding for each piece; offsets are of the true lengths.
+
+    position: whole numbers from 0 to rows - 1 in the documents' order of training, if they have one; it is
+    cut into `parts` equal ranges, and every sequence of a range comes before those of the next.
     """
     spark = docs.sparkSession
     ready(spark)
-    pieces = staged(cut(docs, tokenizer, size, end, id_col, text_col), "pieces")
-    pieces_of = F.ceil(F.col("length") / grain)
-    histogram = {r[0]: r[1] for r in pieces.groupBy(pieces_of.alias("units")).count().collect()}  # at most size / grain rows
-    table = intervals(histogram, size // grain)
-    shift = 44
+    pieces = staged(cut(docs, tokenizer, size, end, id_col, text_col, F.lit(0) if position is None else position), "pieces")
+    parts = 1 if position is None else max(1, min(parts, rows // 1000))
+    part = F.lit(0) if position is None else F.least(F.floor(F.col("position") * parts / max(rows, 1)), F.lit(parts - 1)).cast("int")
+    pieces = pieces.withColumn("units", part * F.lit(size + 1) + F.ceil(F.col("length") / grain).cast("int"))
+    histogram: dict[int, dict[int, int]] = {}
+    for r in pieces.groupBy("units").count().collect():  # at most size / grain rows for each part
+        histogram.setdefault(r[0] // (size + 1), {})[r[0] % (size + 1)] = r[1]
+    table, before = {k: [] for k in ("length", "first", "sequence", "offset")}, 0
+    for p in sorted(histogram):
+        one, sequences = intervals(histogram[p], size // grain)
+        for k, more in zip(table, (one["length"] + p * (size + 1), one["first"], one["sequence"] + before, one["offset"]), strict=True):
+            table[k].append(more)
+        before += sequences
+    table = {k: np.concatenate(x) if x else np.zeros(0, np.int64) for k, x in table.items()}
+    total = sum(n for h in histogram.values() for n in h.values())
+    shift = 40
     keys = table["length"] << shift | table["first"]
-    if max(histogram.values(), default=0) >> shift:
-        raise ValueError(f"over 2**{shift} pieces of one length")
+    if total >> shift:
+        raise ValueError(f"over 2**{shift} pieces")
     # equal rows share a hash: pieces of one document differ in start, and copies of a row are dealt by the tie order
-    ranked = running(pieces.withColumn("units", pieces_of), ["units"], F.xxhash64("id", "start"), [F.col("id"), F.col("start"), F.col("ids_crc32")], F.lit(1), "rank", rows=sum(histogram.values()))
+    by, ties = F.xxhash64("id", "start", "ids_crc32"), [F.col("id"), F.col("start"), F.col("ids_crc32")]
+    if position is None:
+        ranked = running(pieces, ["units"], by, ties, F.lit(1), "rank", rows=total)
+    else:
+        ranked = running(pieces, ["units"], F.col("position"), [F.col("position"), *ties], F.lit(1), "rank", rows=rows, ordered=True)
 
     def place(batches):
         for b in batches:
@@ -202,9 +224,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 0, grain:
             yield pa.RecordBatch.from_arrays([*b.columns[:5], *more], [*b.schema.names[:5], "sequence_id", "slot"])
 
     kind = pieces.schema["id"].dataType.simpleString()
-    placed = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", "units", "rank").mapInArrow(place, f"id {kind}, {PIECE}, sequence_id bigint, slot bigint")
-    before = W.partitionBy("sequence_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)  # at most `size` rows
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("slot").withColumnRenamed("id", id_col)
+    placed = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", F.col("units").cast("bigint"), "rank").mapInArrow(place, f"id {kind}, {PIECE}, sequence_id bigint, slot bigint")
+    earlier = W.partitionBy("sequence_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)  # at most `size` rows
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("slot").withColumnRenamed("id", id_col)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

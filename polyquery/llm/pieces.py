@@ -21,7 +21,7 @@ CHUNK = 4 << 20
 class HashTable:
     """64-bit keys to values: a few sorted arrays, merged as they fill; it starts again beyond `most` keys."""
 
-    def __init__(self, most: int = 3_000_000) -> None:
+    def __init__(self, most: int = 1_000_000) -> None:
         self.most, self.runs, self.kept = most, [], None
 
     def keep(self) -> None:
@@ -75,25 +75,29 @@ class TokenCounter:
 
     MARK = "▁"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, proof: tuple[bool, bytes] | None = None) -> None:
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [(i, sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.line = sp.piece_to_id("<0x0A>")
-        alone = sp.encode(" a", num_threads=1) != sp.encode("a", num_threads=1)  # a leading space is kept
-        self.cut = alone and sp.is_byte(self.line) and not any(self.MARK in p.lstrip(self.MARK) or "\n" in p for _, p in pieces)
         self.table = HashTable()
-        self.whole = 0
+        self.cut, whole = proof or self.prove()
+        self.proof = self.cut, whole
         if self.cut:
-            texts = [p.replace(self.MARK, " ") for _, p in pieces]
-            counts = self.encode(texts)
-            proven = [t for t, n in zip(texts, counts, strict=True) if n == 1]
-            data, offsets = text_bytes(pa.array(proven, pa.string()))
-            hashes = span_hashes(data, offsets[:-1], offsets[1:])
+            hashes = np.frombuffer(whole, "<u8")
             self.table.put(hashes, np.ones(len(hashes), np.int64))
             self.table.keep()
-            self.whole = len(proven)
+
+    def prove(self) -> tuple[bool, bytes]:
+        """Whether texts may be cut, and the hashes of the whole tokens; made once, on the driver, and sent along."""
+        sp = self.sp
+        pieces = [(i, sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+        alone = sp.encode(" a", num_threads=1) != sp.encode("a", num_threads=1)  # a leading space is kept
+        if not (alone and sp.is_byte(self.line) and not any(self.MARK in p.lstrip(self.MARK) or "\n" in p for _, p in pieces)):
+            return False, b""
+        texts = [p.replace(self.MARK, " ") for _, p in pieces]
+        data, offsets = text_bytes(pa.array([t for t, n in zip(texts, self.encode(texts), strict=True) if n == 1], pa.string()))
+        return True, span_hashes(data, offsets[:-1], offsets[1:]).tobytes()
 
     def encode(self, parts: list) -> np.ndarray:
         """Counts of pre-tokens, each merged apart from the others: the library gets them a line each."""

@@ -193,39 +193,61 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, grid: int = 8, rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AdditiveModel:
-    """Fits to at most `most` labelled rows, those whose ids hash lowest. Null labels, and labels of no document, teach nothing."""
+    """Fits to at most `most` labelled rows, those whose ids hash lowest. Null labels, and labels of no document, teach nothing.
+
+    Of an id that is labelled twice the lowest label counts, of an id that documents repeat the row whose text
+    hashes lowest, so that the sample stays within its bound. Empty tables give a model that scores 1/2.
+    """
+    ready(docs.sparkSession)
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    sample = sample.orderBy(F.xxhash64("id"), "id", "label").limit(most)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most `most` rows
+    sample = sample.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most `most` ids
 
     def run(batches):
         for b in batches:
-            x = features(b.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(0)], ["x", "label"])
+            x = features(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64())), b.column(1), b.column(3)], ["id", "x", "label", "mark"])
 
-    rows = found.select("label", "text").mapInArrow(run, "x array<double>, label int").toPandas()
+    rows = found.select("id", "label", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>, label int, mark bigint")
+    rows = rows.groupBy("id").agg(F.min(F.struct("mark", "x", "label")).alias("r")).select("r.x", "r.label").toPandas()
     x = np.array(rows["x"].tolist()).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, rows["label"].to_numpy()))  # the fit doesn't depend on the order in which tasks end
     return fit(x[order], rows["label"].to_numpy(float)[order])
 
 
 def score(docs: DataFrame, model: AdditiveModel, least: float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs' `keep` columns, id, text if kept, and (score, predicted) of each row; null and empty texts score too."""
+    """(id, kept columns, score, predicted) of each row, repeated rows included; null and empty texts score too.
+
+    Null ids stay null; other columns play no part, whatever their names; an empty table gives an empty table.
+    """
     ready(docs.sparkSession)
-    docs = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *[F.col(c) for c in keep])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:])
+    kept = [f"_keep{i}" for i in range(len(keep) + 1)]
+    rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(k) for k, c in zip(kept, (id_col, *keep), strict=True)])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
 
     def run(batches):
         for b in batches:
             p = model.score(features(b.column(0)))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p, pa.float64()), pa.array((p >= least).astype(np.int32))], [*b.schema.names[1:], "score", "predicted"])
 
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+    out = rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, (id_col, *keep), strict=True)], "score", "predicted")
+
+
+def good(docs: DataFrame, model: AdditiveModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score `least` or more, with all their columns as they are."""
+    ready(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.score(features(b.column(at))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns from rows whose crc32 of the id modulo 5 isn't 0 and scores all documents; a null id isn't held out."""
-    ready(spark)
+    """Learns from rows whose crc32 of the id modulo 5 isn't 0 and scores all documents, each row by itself; a null id isn't held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     docs = documents(spark, sf_dir)
     model = train(docs, documents(spark, sf_dir, "labels").where(~held))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 _own: dict[str, str] = {}
@@ -100,18 +100,19 @@ def map_file(uri: str):
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
 
 
-def running(df: DataFrame, keys: list[str], by: Column, order: list[Column], weight: Column, name: str, rows_per_bucket: int = 2_000, rows: int | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], by: Column, order: list[Column], weight: Column, name: str, rows_per_bucket: int = 2_000, rows: int | None = None, ordered: bool = False) -> DataFrame:
     """Adds `name`: the sum of `weight` over the rows of the same keys before this one, in the order of (bucket of `by`, order).
 
-    by: a uniform 64-bit hash. Its top bits deal the rows of each key into buckets, so that a key
-    that holds most rows is still spread over many tasks: bucket totals are pre-aggregated and
-    summed over (at most 65,536 per key), and a window runs inside each bucket only.
+    by: a uniform 64-bit hash, or, if ordered, numbers from 0 up to about `rows` whose order counts. They deal
+    the rows of each key into buckets, so that a key that holds most rows is still spread over many
+    tasks: bucket totals are pre-aggregated and summed over (at most 65,536 per key), and a window runs
+    inside each bucket only. A null key is a key of its own.
     """
     rows = df.count() if rows is None else rows
     bits = max(0, min(16, (max(rows, 1) // rows_per_bucket).bit_length()))
-    df = df.withColumn("_b", F.shiftrightunsigned(by, 64 - bits).cast("int") if bits else F.lit(0))
-    null_safe = [F.coalesce(F.col(k).cast("string"), F.lit("\0null")).alias(f"_k{i}") for i, k in enumerate(keys)]
-    df = df.select("*", *null_safe)
+    bucket = (by / F.lit(max(1.0, rows / (1 << bits)))).cast("int") if ordered else F.shiftrightunsigned(by, 64 - bits).cast("int") if bits else F.lit(0)
+    null_safe = [F.when(F.col(k).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(k).cast("string"))).alias(f"_k{i}") for i, k in enumerate(keys)]
+    df = df.select("*", bucket.alias("_b"), *null_safe)
     ks = [f"_k{i}" for i in range(len(keys))]
     totals = df.groupBy(*ks, "_b").agg(F.sum(weight).alias("_w"))
     before = totals.select(*ks, "_b", F.coalesce(F.sum("_w").over(W.partitionBy(*ks).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -131,7 +132,9 @@ def ready(spark: SparkSession) -> None:
         return
     import zipfile
 
-    path = os.path.join(tempfile.mkdtemp(), "polyquery.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "polyquery.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(os.path.join(root, "polyquery")):
             for n in names:

@@ -14,9 +14,10 @@ from polyquery.llm.pieces import TokenCounter
 from polyquery.llm.shared import documents, ready
 from polyquery.llm.words import text_bytes
 
+
 @lru_cache
-def counter(model: str) -> TokenCounter:
-    return TokenCounter(model)
+def counter(model: str, proof: tuple[bool, bytes] | None = None) -> TokenCounter:
+    return TokenCounter(model, proof)
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,8 +30,10 @@ def count_tokens(docs: DataFrame, model: str, limit: int, id_col: str = "doc_id"
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
 
+    proof = counter(model).proof
+
     def run(batches):
-        count = counter(model)
+        count = counter(model, proof)
         for b in batches:
             _, offsets = text_bytes(b.column(1))
             n = count.counts(b.column(1))

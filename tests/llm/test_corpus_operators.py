@@ -305,6 +305,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert out.count() > 0 and "sequence_id" in out.columns
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that are called like a step's own ones pass through."""
+    names = ["score", "predicted", "spots", "_mark", "mark", "id", "size", "row", "_file", "units", "kept"]
+    docs = frame(spark, corpus(40, 6)).drop("node", "key", "size").select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(40)], "doc_id bigint, quality int")
+    for step in (lambda d: stages.keep_good(d, labels), stages.drop_copies, stages.redact_secrets, stages.mix_sources):
+        out = step(docs)
+        assert out.columns == docs.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+
+
+def test_sequences_follow_the_curriculum(spark, tmp_path):
+    """The mix's order, as written, decides the parts that sequences come in."""
+    docs = frame(spark, [(i, " ".join(["word"] * (1 + i * 7 % 90)), "ab"[i % 2]) for i in range(3000)]).select("doc_id", "text", "source")
+    mixed = stages.mix_sources(docs)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    again = spark.read.parquet(f"{tmp_path}/mixed")
+    position, rows, numbered = stages.written_order(again)
+    order = [r.doc_id for r in numbered.select("doc_id", position.alias("p")).orderBy("p").collect()]
+    assert rows == len(order) and order == [r.doc_id for r in mixed.collect()]
+    when = collections.defaultdict(list)
+    for p, i in enumerate(order):
+        when[i].append(p)
+    got = stages.pack_sequences(again, P.path("byte_bpe_50k.json")).collect()
+    count = max(r.sequence_id for r in got) + 1
+    assert sorted({r.sequence_id for r in got}) == list(range(count))
+    once = sorted((when[r.doc_id][0], r.sequence_id) for r in got if len(when[r.doc_id]) == 1)
+    parts = [[s for p, s in once if p * (rows // 1000) // rows == k] for k in range(rows // 1000)]
+    assert all(max(a) < min(b) for a, b in zip(parts, parts[1:], strict=False))
+
+
 def test_copies_go_by_row(spark):
     """A near copy goes, another text under the same id stays, also where that text repeats or is null."""
     words = [f"w{i}" for i in range(60)]

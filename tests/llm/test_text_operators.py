@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from polyquery.llm import fingerprints, pii, quality, secrets, token_counts
 from polyquery.llm.elias_fano import EliasFano
@@ -189,6 +190,85 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert sum(got[r.doc_id].predicted == r.quality for r in labels) / len(labels) > 0.9
 
 
+def test_quality_against_plain_python(spark):
+    """Features, tables and pair grids recomputed for each text alone."""
+    texts = [t for t in ODD if t is not None] + random_texts(60) + ["Buy NOW!!! | $9 | now now", "a b a b c\n\nd"]
+    signs = "#$%&*+/<=>@\\^_`{|}~[]!"
+    for t, row in zip(texts, quality.features(pa.array(texts)), strict=True):
+        b = t.encode()
+        words = b.split()
+        low = [w.lower() for w in words]
+        per, n = max(len(b), 1), max(len(words), 1)
+        share = lambda chars: sum(c in chars.encode() for c in b) / per  # noqa: E731, B023
+        want = [np.log1p(len(b)), np.log1p(len(words)), (len(b) - b.count(b" ")) / n, sum(65 <= c <= 90 for c in b) / per, share("0123456789"), share(signs), share(".,;:?"), b.count(b"\n") / n, len(set(low)) / n]
+        want += [sum(x == y for x, y in zip(low, low[k:], strict=False)) / n for k in (1, 2)]
+        want += [share("!"), share("|"), sum(c > 127 for c in b) / per, sum(chr(w[-1]) in signs for w in words) / n]
+        assert np.allclose(row, want), t
+    rng = np.random.default_rng(1)
+    x = rng.random((800, 4))
+    model = quality.fit(x, ((x[:, 0] > 0.4) & (x[:, 1] > 0.3)).astype(float), rounds=10, pairs=3, pair_rounds=5)
+    for row, p in zip(x[:100], model.score(x[:100]), strict=True):
+        at = [sum(c <= v for c in cuts) for cuts, v in zip(model.cuts, row, strict=True)]
+        margin = model.start + sum(t[a] for t, a in zip(model.tables, at, strict=True)) + sum(g[model.coarse[i][at[i]], model.coarse[j][at[j]]] for (i, j), g in zip(model.pairs, model.grids, strict=True))
+        assert abs(1 / (1 + np.exp(-margin)) - p) < 1e-12
+
+
+def test_quality_sample_stays_within_its_bound(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (None, "c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (None, 0), (2, None)], "doc_id bigint, quality int")
+    seen = []
+    fit, quality.fit = quality.fit, lambda x, y: seen.append((len(x), sorted(y))) or fit(x, y)
+    try:
+        quality.train(docs, labels)
+        rows = quality.score(docs.withColumns({"score": F.lit("s"), "predicted": F.lit("p")}), quality.train(docs.limit(0), labels), 0.3).collect()
+    finally:
+        quality.fit = fit
+    assert seen == [(2, [0.0, 1.0]), (0, [])] and {(r.score, r.predicted) for r in rows} == {(0.5, 1)} and len(rows) == 52
+
+
+def test_fingerprints_against_sets(spark):
+    """Sketches, likenesses to the edited and the next text, recomputed from each text's set of shingle hashes."""
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.choice((0, 2, 30, 400)))) for _ in range(40)]
+    hashes = lambda t: {int(h) >> 16 for h in shingles(*word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])), 5)[0]}
+
+    def near(a, b):
+        union = sorted(a | b)[: fingerprints.K]
+        return len([h for h in union if h in a and h in b]) / len(union) if union else 1.0
+
+    rows = {x.doc_id: x for x in fingerprints.compare_next(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, t in enumerate(texts):
+        u, h = texts[(i + 1) % len(texts)], len(t) // 2
+        edited = t[: len(t) - h] + u[:h]
+        assert list(fingerprints.from_text(rows[i].fingerprint)) == sorted(hashes(t))[: fingerprints.K]
+        assert list(fingerprints.from_text(rows[i].edited_fingerprint)) == sorted(hashes(edited))[: fingerprints.K]
+        assert abs(rows[i].near_edited - near(hashes(t), hashes(edited))) < 1e-12 and abs(rows[i].near_next - near(hashes(t), hashes(u))) < 1e-12
+
+
+def test_forest_against_a_walk(spark):
+    """Scores by walking each tree from its root, and candidates by a plain pattern."""
+    forest = secrets.default_forest()
+    findings = secrets.labelled_findings(200, 5)
+    x = np.array([secrets.describe(t, s, e) for t, s, e, _ in findings])
+    for row, p in zip(x, forest.score(x), strict=True):
+        total = 0.0
+        for tree in forest.nodes:
+            at = 0
+            while tree[at, 0] >= 0:
+                at = int(tree[at, 2] if row[int(tree[at, 0])] < tree[at, 1] else tree[at, 3])
+            total += tree[at, 4]
+        assert abs(total / len(forest.nodes) - p) < 1e-12
+    for text, _, _, _ in findings:
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_.~-]{8,}={0,2}", text):
+            part = m[0].strip(".-~/")
+            s = m.start() + len(m[0]) - len(m[0].lstrip(".-~/"))
+            if len(part) >= 8 and (secrets.PREFIX.match(part) or (re.search("[0-9]", part) and re.search("[A-Za-z]", part))):
+                want.append((s, s + len(part)))
+        assert secrets.candidates(text) == want
+
+
 def test_secrets(spark):
     test = secrets.labelled_findings(1000, 99)
     forest = secrets.default_forest()
