@@ -9,11 +9,13 @@ so only these are posted, pairs that one class alone has are skipped, and the co
 are counted on the two signatures. Every candidate is confirmed on the full shingle sets.
 
 Postings of large groups are not expanded into all pairs: in each round every pair's list links the
-classes of each component so far to one centre, components merge, and lists that lie in one component
-are done. In the lists that stay split every pair is compared, in blocks inside a task and without
-writing pairs: each set has a parity sketch (one bit for each hash value, flipped by each shingle), and
-two sketches never differ in more bits than the sets do in shingles, so that a pair whose sketches
-differ too much is ruled out for certain. Only what is left goes on to the full sets.
+classes of each component so far to one centre, drawn anew for each round, components merge, and lists
+that lie in one component are done. In the lists that stay split, members outside the list's largest
+component are strays: they alone visit all blocks of the list, in which every member resides once, so that
+rows grow with members and strays, not with pairs. Within a block a visitor meets all residents: each set
+has a parity sketch (one bit for each hash value, flipped by each shingle), and two sketches never differ in
+more bits than the sets do in shingles, so that a pair whose sketches differ too much is ruled out for
+certain. Only what is left goes on to the full sets.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from polyquery.llm.shared import documents, ready, staged
+from polyquery.llm.shared import documents, dropped, ready, staged
 from polyquery.llm.words import U64, chunks, mix, shingles, text_bytes, word_hashes
 
 MINIMA, COORDINATES, MATCHES = 3, 32, 5  # a pair of resemblance 0.8 agrees in 5 of 32 but for some five cases in a million
 BROADCAST_ROWS = 500_000
-BLOCK = 2048  # members of a list that meet in one task, twice
+BLOCK, BLOCK_BYTES = 4096, 32 << 20  # members of a list that reside in one block, and the bytes of their sketches
+VISITORS = 512  # visitors that a task holds at once
+ROUNDS, WORTH = 8, 100  # centre rounds at most; fewer once less than one in WORTH of a round's pairs is linked
 
 
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,94 +111,121 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def close_pairs(lists: DataFrame, percent: int, matches: int) -> DataFrame:
-    """(a, b): pairs of one (key, i, j) group, of different components, that neither sketch nor signature rules out.
+    """(a, b): pairs of a visitor and a resident of a block, of different components, that neither sketch nor signature rules out.
 
-    lists: (key, i, j, block, node, comp, n, signature, sketch, mask). A pair is given by the first list alone
-    that both are posted in, as far as lists are split into the same blocks.
+    lists: (key, block, visits, stray, node, comp, n, signature, sketch, mask), a block's residents before its
+    visitors. A pair is given by the first split list alone that both are posted in; of two strays, each of
+    which visits the other, by the lower one's visit.
     """
 
-    def group(key, rows) -> list[tuple[bytes, bytes]]:
-        block, nodes, comps, n, signatures, sketches, masks = rows
-        i, j = key[1], key[2]
-        coordinate = int(np.argmax(signatures[0] == key[0]))
-        earlier = np.int64((1 << coordinate) - 1)
-        width = np.array([len(x) for x in sketches])
-        held = {w: (np.flatnonzero(width == w)) for w in np.unique(width).tolist()}
-        words = {w: np.frombuffer(b"".join(sketches[x] for x in at), np.uint64).reshape(len(at), -1) for w, at in held.items()}
-        out = []
-        for w, at in held.items():
-            sides = [(at, words[w])]
-            if 2 * w in held:
-                wide = words[2 * w]
-                sides.append((held[2 * w], wide[:, : w // 8] ^ wide[:, w // 8 :]))
-            for row, a in enumerate(at.tolist()):
-                for others, bits in sides:
-                    apart = (comps[others] != comps[a]) & (nodes[others] > nodes[a] if others is at else nodes[others] != nodes[a])
-                    if i != j:
-                        apart &= block[others] != block[a]
-                    small, large = np.minimum(n[others], n[a]), np.maximum(n[others], n[a])
-                    which = np.flatnonzero(apart & (100 * small >= percent * large))
-                    if not len(which):
-                        continue
-                    differ = np.bitwise_count(bits[which] ^ words[w][row]).sum(axis=1, dtype=np.int64)
-                    which = which[differ * (100 + percent) <= (100 - percent) * (n[others[which]] + n[a])]
-                    for b in others[which].tolist():
-                        same = signatures[a] == signatures[b]
-                        if same.sum() >= matches and not (np.flatnonzero(same & ((masks[a] & masks[b] & earlier) >> np.arange(len(same)) & 1).astype(bool))).size:
-                            out.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+    def met(key: int, residents: list, visitors: list) -> list[tuple[bytes, bytes]]:
+        strays, nodes, comps, n, signatures, sketches, masks = residents
+        words, out = sketches, []
+        for _, _, _, _, node, comp, size, signature, sketch, mask in visitors:
+            signature = np.array(signature)
+            earlier = np.int64((1 << int(np.argmax(signature == key))) - 1)
+            own = np.frombuffer(sketch, np.uint64)
+            for width in (len(own) // 2, len(own), 2 * len(own)):
+                if width not in words:
+                    continue
+                at, bits = words[width]
+                mine = own[:width] ^ own[width:] if width < len(own) else own
+                if width > len(own):
+                    bits = bits[:, : len(own)] ^ bits[:, len(own) :]
+                apart = (comps[at] != comp) & (~strays[at] | (nodes[at] > node))
+                apart &= 100 * np.minimum(n[at], size) >= percent * np.maximum(n[at], size)
+                which = np.flatnonzero(apart)
+                if not len(which):
+                    continue
+                differ = np.bitwise_count(bits[which] ^ mine).sum(axis=1, dtype=np.int64)
+                others = at[which[differ * (100 + percent) <= (100 - percent) * (n[at[which]] + size)]]
+                if not len(others):
+                    continue
+                same = signatures[others] == signature
+                before = ((masks[others] & mask & earlier)[:, None] >> np.arange(same.shape[1]) & 1).astype(bool)
+                fine = (same.sum(axis=1) >= matches) & ~(same & before).any(axis=1)
+                out += [(min(node, x), max(node, x)) for x in nodes[others[fine]].tolist()]
         return out
 
+    def at_home(held: list) -> list:
+        _, _, _, strays, nodes, comps, n, signatures, sketches, masks = zip(*held, strict=True)
+        width = np.array([len(x) // 8 for x in sketches])
+        words = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            words[w] = at, np.frombuffer(b"".join(sketches[x] for x in at), np.uint64).reshape(len(at), w)
+        return [np.array(strays), np.array(nodes, object), np.array(comps, object), np.array(n), np.array(signatures), words, np.array(masks)]
+
     def run(batches):
-        at, held = None, []
+        at, held, residents = None, [], None
 
         def close():
-            cols = list(zip(*held, strict=True))
-            rows = (np.array(cols[3]), np.array(cols[4], object), np.array(cols[5], object), np.array(cols[6]), np.array(cols[7]), cols[8], np.array(cols[9]))
-            pairs = group(at, rows)
-            if pairs:
+            if held and residents is not None and (pairs := met(at[0], residents, held)):
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in pairs], pa.binary()) for c in (0, 1)], ["a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != at:
-                    if len(held) > 1:
-                        yield from close()
-                    at, held = row[:3], []
+                if row[:2] != at:
+                    yield from close()
+                    at, held, residents = row[:2], [], None
+                if row[2] and residents is None:
+                    if not held:
+                        continue  # nobody resides here
+                    residents, held = at_home(held), []
                 held.append(row)
-        if len(held) > 1:
-            yield from close()
+                if residents is not None and len(held) >= VISITORS:
+                    yield from close()
+                    held = []
+        yield from close()
 
     return lists.mapInArrow(run, "a binary, b binary")
 
 
-def split_lists(at: DataFrame, heads: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of the lists that lie in several components, with what close_pairs needs, dealt by list and pair of blocks."""
-    split = staged(at.join(heads.select("key"), "key"), "split")
+def split_lists(split: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """Residents and visitors of the lists (key, node, place, comp) that lie in several components, with what close_pairs
+    needs, dealt by list and block. A list has a block for each BLOCK members, or BLOCK_BYTES of their sketches."""
     masks = split.groupBy("node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place"))).alias("mask"))
-    members = split.groupBy("key").count().select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     known = signatures.join(sets.select("node", "sketch", F.size("shingles").alias("n")), "node").join(masks, "node")
-    rows = split.join(members, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp").join(known, "node")
-    rows = rows.select("key", "i", "j", "block", "node", "comp", "n", "signature", "sketch", "mask")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    sized = split.join(sets.select("node", F.octet_length("sketch").cast("bigint").alias("bytes")), "node")
+    parts = sized.groupBy("key", "comp").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.sum("members") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    lists = parts.groupBy("key").agg(F.max(F.struct("members", "comp"))["comp"].alias("big"), blocks)
+    rows = split.select("key", "node", "comp").join(lists, "key").withColumn("stray", F.col("comp") != F.col("big")).withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    home = rows.select("key", F.col("home").alias("block"), F.lit(False).alias("visits"), "stray", "node", "comp")
+    away = rows.where("stray").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "stray", "node", "comp")
+    rows = home.union(away).join(known, "node").select("key", "block", "visits", "stray", "node", "comp", "n", "signature", "sketch", "mask")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "visits")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in `edges` (a, b): the least node that can be reached. Labels spread and are shortened in turn, each round a written table."""
     both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "labels")
+    labels, before = staged(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "labels"), None
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
         nxt = staged(step.join(up, "root").select("node", F.least("root", "top").alias("root"), (F.least("root", "top") != F.col("old")).alias("moved")), "labels")
-        labels = nxt.select("node", "root")
+        dropped(before or labels)
+        labels, before = nxt.select("node", "root"), nxt
         if nxt.where("moved").isEmpty():
+            dropped(both)
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, matches: int = MATCHES, rounds: int = 3, mark: str | None = None) -> DataFrame:
+def merged(found: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(node, root) with the links `new` (a, b) added: components of the components that they join, not of all links."""
+    if found is None:
+        return components(new)
+    ends = new.join(found.toDF("a", "ra"), "a", "left").join(found.toDF("b", "rb"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    joined = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()).toDF("root", "top")
+    nodes = found.union(ends.select("a", "ra")).union(ends.select("b", "rb")).distinct()
+    out = staged(nodes.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "found")
+    dropped(found, joined)
+    return out
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, matches: int = MATCHES, rounds: int = ROUNDS, mark: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept): documents linked when 100 * |A and B| >= percent * |A or B|.
 
     component_id is the smallest id that links lead to, itself included; kept marks the row with that id.
@@ -210,15 +241,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     classes = base.where("n > 0").groupBy("node").agg(first.alias("x")).select("node", "x.id", "x.signature")
     classes = staged(classes, "classes")
     posts = classes.select("node", F.posexplode("signature").alias("place", "key"))
-    often = posts.groupBy("key").count().where("count > 1")
-    shared = posts.join(often, "key")
+    often = staged(posts.groupBy("key").count().where("count > 1"), "often")
+    shared = posts.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "key")
     mine = W.partitionBy("node")
     prefix = coordinates - matches + 1
     shared = shared.withColumn("has", F.count("*").over(mine)).where(F.col("has") >= matches)
     shared = shared.withColumn("turn", F.row_number().over(mine.orderBy("count", "key")) + coordinates - F.col("has")).where(F.col("turn") <= prefix)
-    posts = staged(shared.select("node", "place", "key"), "postings")
-    met = posts.groupBy("key").count().where("count > 1").select("key")
-    posts = staged(posts.join(met, "key").select("node", "place", "key"), "postings")
+    before = staged(shared.select("node", "place", "key"), "postings")
+    met = before.groupBy("key").count().where("count > 1").select("key")
+    posts = staged(before.join(met, "key").select("node", "place", "key"), "postings")
+    dropped(often, before)
 
     alive = posts.select("node").distinct().join(classes, "node")
     alive = staged(alive.select("node", "id", "signature"), "alive")
@@ -233,6 +265,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             sets = sets.unionByName(full_sets(texts, shingle).join(nameless, "node", "left_semi").dropDuplicates(["node"]))
         sets = staged(sets, "sets")
         found = link(posts, alive.select("node", "signature"), sets, percent, matches, rounds)
+        dropped(sets)
+    dropped(posts, alive, classes)
     members = base.drop("signature")
     if found is None:
         done = members.withColumn("root", F.col("node"))
@@ -245,33 +279,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 def link(posts: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, matches: int, rounds: int) -> DataFrame | None:
     """(node, root) of the nodes that have links."""
-    edges = tried = found = None
-    turn = 0
-    while turn <= rounds:
+    tried: list[DataFrame] = []
+    found, turn, worth = None, 0, True
+    while True:
         at = posts.withColumn("comp", F.col("node")) if found is None else posts.join(found, "node", "left").select("node", "place", "key", F.coalesce("root", "node").alias("comp"))
-        ends = at.groupBy("key", "comp").agg(F.min("node").alias("node"))
-        heads = ends.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("head"), F.count("*").alias("comps")).where("comps > 1")
-        if turn < rounds:
-            pairs = ends.join(heads, "key").where(F.col("comp") != F.col("head.comp")).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+        drawn = F.xxhash64(F.col("node"), F.lit(turn))  # each round has centres of its own
+        ends = at.groupBy("key", "comp").agg(F.min_by("node", drawn).alias("node"))
+        chosen = F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("turn"), "comp", "node")).alias("head")
+        lists = ends.groupBy("key").agg(chosen, F.count("*").alias("comps"))
+        heads = staged(lists.where("comps > 1").select("key", "head"), "heads")
+        if heads.isEmpty():
+            dropped(heads)
+            break
+        last = turn >= rounds or not worth
+        if last:
+            split = staged(at.join(heads.select("key"), "key").select("key", "node", "place", "comp"), "split")
+            pairs = close_pairs(split_lists(split, signatures, sets), percent, matches).distinct()
         else:
-            pairs = close_pairs(split_lists(at, heads, signatures, sets), percent, matches)
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = ends.join(heads, "key").where(F.col("comp") != F.col("head.comp")).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+        for t in tried:
+            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
         left, right = signatures.toDF("a", "sa"), signatures.toDF("b", "sb")
         agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        pairs = staged(pairs.join(left, "a").join(right, "b").select("a", "b", (agree >= matches).alias("candidate")), "pairs")
+        pairs = pairs if last else pairs.join(left, "a").join(right, "b").select("a", "b", (agree >= matches).alias("candidate"))
         both = F.size(F.array_intersect("x", "y"))
         whole = F.size("x") + F.size("y") - both
-        checked = pairs.where("candidate").select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").where(100 * both >= percent * whole)
-        new = staged(checked.select("a", "b"), "edges")
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        if new.isEmpty():
-            turn = max(turn + 1, rounds) if turn < rounds else turn + 1  # centres bring no more: compare what is left
-            continue
-        edges = new if edges is None else edges.union(new)
-        found = components(edges)
+        x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        asked = pairs if last else staged(pairs, "pairs")
+        linked = (asked if last else asked.where("candidate")).select("a", "b").join(x, "a").join(y, "b").where(100 * both >= percent * whole)
+        new = staged(linked.select("a", "b"), "edges")
+        links = new.count()
+        if links:
+            found = merged(found, new)
+        dropped(new, heads)
+        if last:
+            dropped(split)
+            break
+        tried.append(asked)
+        worth = links * WORTH >= asked.count()
         turn += 1
+    dropped(*tried)
     return found
 
 

@@ -57,7 +57,7 @@ def dropped(*tables: DataFrame | None) -> None:
     """Removes staged tables that no later step reads."""
     for t in tables:
         if t is not None:
-            remove(t.sparkSession, *{f.rsplit("/", 1)[0] for f in t.inputFiles()})
+            remove(t.sparkSession, *{f.rsplit("/", 1)[0] for f in t.inputFiles()})  # a staged table's files lie in one folder
 
 
 def local_path(uri: str) -> str | None:

@@ -67,12 +67,50 @@ def test_near_duplicates(spark, k):
 def test_split_lists_are_compared_whole(spark, monkeypatch):
     """Without centre rounds every link comes from the exhaustive comparison, here in several blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "VISITORS", 3)
     rows = corpus(80, 3)
     want, _ = brute_components(rows, 2)
     got = near_dedup.near_duplicates(frame(spark, rows), shingle=2, rounds=0).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_recall_of_planted_pairs():
+    """Of pairs at a resemblance of exactly 0.8, and a little above, at least 999 in 1,000 agree in enough coordinates."""
+    rng = np.random.default_rng(9)
+    for both, each in ((80, 10), (400, 50), (84, 10)):
+        missed, n = 0, 4000
+        for _ in range(n // 100):
+            sets = rng.integers(0, 1 << 63, (100, both + 2 * each), dtype=np.uint64)
+            flip, odd = near_dedup.multipliers(near_dedup.COORDINATES * near_dedup.MINIMA)
+            same = np.zeros(100, np.int64)
+            for j in range(near_dedup.COORDINATES):
+                equal = np.ones(100, bool)
+                for i in range(near_dedup.MINIMA * j, near_dedup.MINIMA * (j + 1)):
+                    h = (sets ^ flip[i]) * odd[i]
+                    equal &= h[:, : both + each].min(axis=1) == np.delete(h, np.s_[both : both + each], axis=1).min(axis=1)
+                same += equal
+            missed += int((same < near_dedup.MATCHES).sum())
+        assert missed <= n // 1000
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """A template with many variants is one component; the pairs looked at grow with the group, not with its square."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    r, rows = random.Random(11), []
+    words = [f"t{i}" for i in range(120)]
+    for i in range(600):
+        w = list(words)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(120)] = f"u{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "s"))
+    seen, staged = collections.Counter(), near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, what="t": (t := staged(df, what), seen.update({what: t.count()}))[0])
+    want, _ = brute_components(rows, 2)
+    got = near_dedup.near_duplicates(frame(spark, rows), shingle=2).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
+    assert seen["edges"] < 40 * len(rows) and seen["pairs"] < 100 * len(rows)
+
+
 def test_near_duplicates_odd_tables(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).collect() == []
     rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (None, "a b c d e f", "s"), (None, None, "s"), (7, None, "s")]
