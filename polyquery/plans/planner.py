@@ -10,6 +10,7 @@ ORDER BY sees output names only. "open" follows openCypher in these points.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,14 @@ MAX_ROWS = 100_000
 SEP = "·"
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Rows between clauses (checked by counting after each clause, so off by default) and hops of one path."""
+
+    intermediate: int | None = None
+    depth: int | None = 8
+
+
 @dataclass
 class Meta:
     """What is known of a result besides its rows."""
@@ -54,28 +63,58 @@ class Bound:
     props: tuple[str, ...] = ()
     type: T.DataType | None = None
     labels: tuple[str, ...] = ()
+    key: str | None = None  # the label whose whole-number keys stand for node ids
 
 
 class Planner:
-    def __init__(self, graph: Graph, params: dict, rules: str) -> None:
+    def __init__(self, graph: Graph, params: dict, rules: str, limits: Limits = Limits()) -> None:  # noqa: B008
         if rules not in ("classic", "open"):
             raise ValueError("rules are classic or open")
         self.graph, self.params, self.open = graph, params, rules == "open"
         self.df: DataFrame | None = None
         self.bound: dict[str, Bound] = {}
-        self.meta, self.hidden, self.projected = Meta(), 0, False
+        self.meta, self.hidden, self.projected, self.limits = Meta(), 0, False, limits
 
     # names
 
     def id_of(self, var: str) -> Column:
+        b = self.bound.get(var)
+        if b is not None and b.key:  # written only where an id is shown; joins and filters go by the key
+            return F.concat(F.lit(f"{b.key.lower()}:"), self.key_of(var).cast("string"))
         return F.col(f"`{var}{SEP}{SEP}id`")
 
+    def key_of(self, var: str) -> Column:
+        return F.col(f"`{var}{SEP}{SEP}key`")
+
+    def by_key(self, e: tuple, other: tuple) -> Column | None:
+        """`id = 'label:key'` of a keyed node as a comparison of its key, which scans can push down."""
+        b = self.bound.get(e[1]) if e[0] == "var" or e[0] == "prop" and e[2] == "id" else None
+        if b is None or not b.key or e[0] == "prop" and "id" in b.props or other[0] not in ("lit", "param"):
+            return None
+        want = other[1] if other[0] == "lit" else self.params.get(other[1])
+        if not isinstance(want, str):
+            return None
+        m = re.fullmatch(rf"{re.escape(b.key.lower())}:(0|-?[1-9][0-9]{{0,17}})", want)
+        return self.key_of(e[1]) == F.lit(int(m[1])) if m else F.lit(False)
+
     def fresh(self) -> str:
         self.hidden += 1
         return f"_{self.hidden}"
 
+    def nodes_as(self, label: str | None, var: str, rows: DataFrame | None = None) -> tuple[DataFrame, Bound]:
+        """A label's nodes (or all) as columns of a variable, known by key where they have one."""
+        if rows is None:
+            rows = self.graph.labelled(label) if label else self.graph.all_nodes()
+        key = self.graph.keyed.get(label) if label else None
+        if key is None:
+            rows, props = self.prefixed(rows, var, "node_id")
+        else:
+            props = tuple(c for c in rows.columns if c not in ("node_id", "src", "dst", "type"))
+            rows = rows.select(F.col(key).cast("bigint").alias(f"{var}{SEP}{SEP}key"), *[F.col(f"`{c}`").alias(f"{var}{SEP}{c}") for c in props])
+        return rows, Bound("node", props, labels=(label,) if label else (), key=label if key else None)
+
     def prefixed(self, rows: DataFrame, var: str, key: str) -> tuple[DataFrame, tuple[str, ...]]:
-        props = tuple(c for c in rows.columns if c not in (key, "src", "dst", "type"))
+        props = tuple(c for c in rows.columns if c not in (key, "src", "dst", "type", "src_key", "dst_key"))
         return rows.select(F.col(key).alias(f"{var}{SEP}{SEP}id"), *[F.col(f"`{c}`").alias(f"{var}{SEP}{c}") for c in props], *[c for c in ("src", "dst", "type") if c in rows.columns]), props
 
     # expressions
@@ -105,6 +144,10 @@ class Planner:
         if kind == "not":
             return Value(~truth(self.value(e[1])), T.BooleanType())
         if kind == "cmp":
+            if e[1] == "=":
+                for a, b in ((e[2], e[3]), (e[3], e[2])):
+                    if (same := self.by_key(a, b)) is not None:
+                        return Value(same if conjunct else F.coalesce(same, F.lit(False)), T.BooleanType())
             return Value(compare(e[1], self.value(e[2]), self.value(e[3]), conjunct), T.BooleanType())
         if kind == "in":
             return self.member(e, conjunct)
@@ -182,9 +225,9 @@ class Planner:
             rows = self.graph.labelled(label) if label else self.graph.all_nodes()
             for more in p.labels[1:] if self.open else []:
                 rows = rows.join(self.graph.labelled(more).select("node_id"), "node_id", "left_semi")
-            rows, props = self.prefixed(rows, var, "node_id")
+            rows, bound = self.nodes_as(label, var, rows)
             self.join_rows(rows)
-            self.bound[var] = Bound("node", props, labels=tuple(p.labels[:1]))
+            self.bound[var] = bound
         self.inline(var, p.props)
 
     def inline(self, var: str, props: dict[str, tuple]) -> None:
@@ -195,6 +238,8 @@ class Planner:
         kinds = r.types if self.open else r.types[:1]
         edge = self.graph.any_edges(kinds)
         var = r.var or self.fresh()
+        if self.hop_by_key(edge, var, start, r, p, end):
+            return
         rows, props = self.prefixed(edge.rows, var, "edge_id")
         at, to = f"{var}{SEP}from", f"{var}{SEP}to"
         out = rows.withColumnsRenamed({"src": at, "dst": to})
@@ -218,23 +263,69 @@ class Planner:
             self.df = self.df.where(F.col(f"`{to}`") == self.id_of(end))
         else:
             if again:
-                self.df = self.df.drop(*[c for c in self.df.columns if c.startswith(f"{end}{SEP}")])
+                self.forget(end)
             label = {"out": edge.dst_label, "in": edge.src_label}.get(r.way) or (edge.src_label if edge.src_label == edge.dst_label else None)
-            nodes = self.graph.labelled(label) if label else self.graph.all_nodes()
-            nodes, names = self.prefixed(nodes, end, "node_id")
-            self.df = self.df.join(nodes, F.col(f"`{to}`") == F.col(f"`{end}{SEP}{SEP}id`"))
-            self.bound[end] = Bound("node", names, labels=(label,) if label else ())
-            if self.open and p.labels:
-                for want in p.labels:
-                    if want != label:
-                        self.df = self.df.join(self.graph.labelled(want).select(F.col("node_id").alias("_l")), self.id_of(end) == F.col("_l"), "left_semi")
+            nodes, bound = self.nodes_as(label, end)
+            self.bound[end] = bound
+            self.df = self.df.join(nodes, F.col(f"`{to}`") == self.id_of(end))
+            self.require(end, p.labels, label)
         self.df = self.df.drop(at, to)
         self.inline(end, p.props)
 
+    def forget(self, var: str) -> None:
+        self.df = self.df.drop(*[c for c in self.df.columns if c.startswith(f"{var}{SEP}")])
+
+    def require(self, var: str, labels: list[str], known: str | None) -> None:
+        for want in labels if self.open else []:
+            if want != known:
+                self.df = self.df.join(self.graph.labelled(want).select(F.col("node_id").alias("_l")), self.id_of(var) == F.col("_l"), "left_semi")
+
+    def hop_by_key(self, edge, var: str, start: str, r: L.RelPattern, p: L.NodePattern, end: str) -> bool:
+        """A hop between keyed labels as a join of whole numbers; where one end's rows are the edges, without an edge table."""
+        here, there = ("src", "dst") if r.way == "out" else ("dst", "src")
+        a, b = getattr(edge, f"{here}_label"), getattr(edge, f"{there}_label")
+        s, again = self.bound.get(start), end in self.bound
+        if not edge.keys or r.way == "both" or start == end or s is None or s.key != a or a is None or b not in self.graph.keyed or self.open and r.props:
+            return False
+        if again and self.open and self.bound[end].key != b:
+            return False
+        side, column = edge.own or (None, None)
+        if side == here and column not in s.props:
+            return False
+        if again and not self.open:
+            self.forget(end)
+            again = False
+        props: tuple[str, ...] = ()
+        to = None
+        if side == here:
+            to = F.col(f"`{start}{SEP}{column}`").cast("bigint")
+        elif side is None:
+            rows, props = self.prefixed(edge.rows.drop("src", "dst", "type"), var, "edge_id")
+            ends = edge.rows.select(F.col(f"{here}_key").alias(f"{var}{SEP}from"), F.col(f"{there}_key").alias(f"{var}{SEP}to"), F.col("edge_id").alias(f"{var}{SEP}{SEP}id"), *[F.col(f"`{c}`").alias(f"{var}{SEP}{c}") for c in props])
+            self.df = self.df.join(ends, self.key_of(start) == F.col(f"`{var}{SEP}from`"))
+            to = F.col(f"`{var}{SEP}to`")
+        if again:
+            self.df = self.df.where((to if to is not None else F.col(f"`{end}{SEP}{column}`").cast("bigint")) == (self.key_of(end) if to is not None else self.key_of(start)))
+        else:
+            nodes, bound = self.nodes_as(b, end)
+            self.bound[end] = bound
+            self.df = self.df.join(nodes, to == self.key_of(end) if to is not None else F.col(f"`{end}{SEP}{column}`").cast("bigint") == self.key_of(start))
+        if side is not None:
+            ids = (self.id_of(start), self.id_of(end)) if r.way == "out" else (self.id_of(end), self.id_of(start))
+            self.df = self.df.withColumn(f"{var}{SEP}{SEP}id", F.concat_ws("|", ids[0], F.lit(edge.kind), ids[1]))
+        else:
+            self.df = self.df.drop(f"{var}{SEP}from", f"{var}{SEP}to")
+        self.bound[var] = Bound("edge", props)
+        self.require(end, p.labels, b)
+        self.inline(end, p.props)
+        return True
+
     def match(self, c: L.Match) -> None:
         if c.optional and self.open and self.df is not None:
             return self.optional(c)
         for path in c.paths:
+            if self.limits.depth is not None and len(path.rels) > self.limits.depth:
+                raise L.QueryError(f"a path of over {self.limits.depth} hops")
             names = [n.var or self.fresh() for n in path.nodes]
             self.scan(path.nodes[0], names[0])
             used: list[str] = []
@@ -330,33 +421,70 @@ class Planner:
     # procedures
 
     def call(self, c: L.Call) -> None:
-        if c.name not in ("vector.searchExact", "vector.searchApprox"):
+        known = {"vector.searchExact": ("node", "score"), "vector.searchApprox": ("node", "score"), "kv.put": ("version",), "kv.delete": ("version",)}
+        if c.name not in known:
             raise L.QueryError(f"unknown procedure {c.name}")
-        unknown = set(c.wanted) - {"node", "score"}
+        unknown = set(c.wanted) - set(known[c.name])
         if unknown:
             raise L.QueryError(f"{c.name} has no column {', '.join(sorted(unknown))}")
+        if c.name.startswith("kv."):
+            self.write_records(c)
+        else:
+            self.nearest(c)
+
+    def nearest(self, c: L.Call) -> None:
+        """The k nearest of a vector; for rows with vectors of their own, of each row's (asked once for equal ones)."""
         if len(c.args) < 3:
             raise L.QueryError(f"{c.name} takes an index, a vector and a number")
-        index, query, k = (self.value(a).constant for a in c.args[:3])
+        index, query, k = (self.value(a) for a in c.args[:3])
         options = self.value(c.args[3]).constant if len(c.args) > 3 else {}
-        if index not in self.graph.indexes:
-            raise L.QueryError(f"unknown vector index {index}")
-        if not isinstance(query, list) or not isinstance(k, int):
+        if index.constant not in self.graph.indexes:
+            raise L.QueryError(f"unknown vector index {index.constant}")
+        vector = isinstance(query.constant, list) if query.literal else isinstance(query.type, T.ArrayType)
+        if not vector or not isinstance(k.constant, int):
             raise L.QueryError(f"{c.name}: the vector must be a list of numbers and k a whole number")
-        ix = self.graph.indexes[index]
-        rows = ix.rows
-        if c.name == "vector.searchApprox" and ix.approximate is not None:
-            rows = ix.approximate.candidates(rows, query, options.get("efSearch"))
-        hits = vectors.top_k(rows, query, k, ix.metric)
-        hits = hits.select(F.coalesce("node_id", "id").alias("_hit"), "score")
-        props: tuple[str, ...] = ()
+        ix = self.graph.indexes[index.constant]
+        rows, approximate = ix.rows, c.name == "vector.searchApprox" and ix.approximate is not None
+        if query.literal:
+            rows = ix.approximate.candidates(rows, query.constant, options.get("efSearch")) if approximate else rows
+            hits, asked = vectors.top_k(rows, query.constant, k.constant, ix.metric), None
+        else:
+            asked = self.fresh()
+            self.df = self.df.withColumn(asked, query.col)
+            each = self.df.where(F.col(asked).isNotNull()).select(F.col(asked).alias("query_id"), F.col(asked).alias("query")).distinct()
+            hits = vectors.batch_top_k(rows, each, k.constant, ix.metric).withColumnRenamed("query_id", "_asked")
+        keyed = ix.label in self.graph.keyed and "node_key" in rows.columns
+        hits = hits.select(F.col("node_key").alias("_hit") if keyed else F.coalesce("node_id", "id").alias("_hit"), "score", *(["_asked"] if asked else []))
+        bound, name = Bound("node"), f"node{SEP}{SEP}{'key' if keyed else 'id'}"
         if ix.label:
-            nodes, props = self.prefixed(self.graph.labelled(ix.label), "node", "node_id")
-            hits = hits.join(nodes, F.col("_hit") == F.col(f"`node{SEP}{SEP}id`"), "left").withColumn(f"node{SEP}{SEP}id", F.col("_hit"))
+            nodes, bound = self.nodes_as(ix.label, "node") if keyed else (lambda x: (x[0], Bound("node", x[1], labels=(ix.label,))))(self.prefixed(self.graph.labelled(ix.label), "node", "node_id"))
+            hits = hits.join(nodes, F.col("_hit") == F.col(f"`{name}`"), "left")
+        hits = hits.withColumn(name, F.col("_hit")).drop("_hit")
+        if asked is None:
+            self.join_rows(hits)
         else:
-            hits = hits.withColumn(f"node{SEP}{SEP}id", F.col("_hit"))
-        self.join_rows(hits.drop("_hit"))
-        self.bound |= {"node": Bound("node", props, labels=(ix.label,) if ix.label else ()), "score": Bound("value", type=T.DoubleType())}
+            self.df = self.df.join(hits, F.col(asked) == F.col("_asked")).drop(asked, "_asked")
+        self.bound |= {"node": bound, "score": Bound("value", type=T.DoubleType())}
+
+    def write_records(self, c: L.Call) -> None:
+        """Each row puts (namespace, key, value) or deletes (namespace, key); of rows with one key the greatest value stays."""
+        count = 3 if c.name == "kv.put" else 2
+        if len(c.args) != count:
+            raise L.QueryError(f"{c.name} takes {count} arguments")
+        values = [self.value(a) for a in c.args]
+        if any(v.family not in ("str", "bytes") for v in values):
+            raise L.QueryError(f"{c.name} takes strings")
+        rows = self.df if self.df is not None else self.graph.spark.range(1).select(F.lit(1).alias("_one"))
+        new = rows.select(*[v.col.alias(n) for v, n in zip(values, ("namespace", "key", "value"), strict=False)]).where("namespace is not null and key is not null")
+        old = self.graph.kv
+        keys = new.select("namespace", "key").distinct()
+        kept = None if old is None else old.join(keys, ["namespace", "key"], "left_anti")
+        if c.name == "kv.put":
+            new = new.groupBy("namespace", "key").agg(F.max("value").alias("value"))
+            kept = new if kept is None else kept.select("namespace", "key", "value").unionByName(new)
+        self.graph = replace(self.graph, kv=kept, writes=self.graph.writes + 1)
+        self.df = rows.withColumn("version", F.lit(self.graph.writes).cast("bigint"))
+        self.bound["version"] = Bound("value", type=T.LongType())
 
     # writes: each gives a new graph
 
@@ -402,7 +530,7 @@ class Planner:
                 rows = nodes[label]
                 old = F.col(f"`{prop}`") if prop in rows.columns else F.lit(None).cast(v.type)
                 nodes[label] = rows.join(new, rows["node_id"] == new["_id"], "left").withColumn(prop, F.when(F.col("_id").isNotNull(), F.col("_new")).otherwise(old)).drop("_id", "_new")
-            self.graph = replace(self.graph, nodes=nodes)
+            self.graph = replace(self.graph.unkeyed(*(self.bound[var].labels or tuple(nodes))), nodes=nodes)
 
     def delete(self, c: L.Delete) -> None:
         for var in c.names:
@@ -411,14 +539,20 @@ class Planner:
                 continue
             gone = self.df.select(self.id_of(var).alias("_id")).distinct()
             if b.kind == "node":  # edges to it stay, and no pattern reaches them any more
-                self.graph = replace(self.graph, nodes={k: r.join(gone, r["node_id"] == gone["_id"], "left_anti") for k, r in self.graph.nodes.items()})
+                nodes = dict(self.graph.nodes)
+                for label in b.labels if b.labels and not self.graph.overlapping else tuple(nodes):
+                    nodes[label] = nodes[label].join(gone, nodes[label]["node_id"] == gone["_id"], "left_anti")
+                self.graph = replace(self.graph, nodes=nodes)
             else:
-                self.graph = replace(self.graph, edges={k: replace(t, rows=t.rows.join(gone, t.rows["edge_id"] == gone["_id"], "left_anti")) for k, t in self.graph.edges.items()})
+                self.graph = replace(self.graph, edges={k: replace(t, rows=t.rows.join(gone, t.rows["edge_id"] == gone["_id"], "left_anti"), own=None) for k, t in self.graph.edges.items()})
 
     def result(self, clauses: list) -> Result:
         steps = {L.Match: self.match, L.Unwind: self.unwind, L.Projection: self.project, L.Call: self.call, L.Create: self.create, L.SetProps: self.set, L.Delete: self.delete}
         for c in clauses:
             steps[type(c)](c)
+            most = self.limits.intermediate
+            if most is not None and self.df is not None and self.df.limit(most + 1).count() > most:
+                raise L.QueryError(f"over {most} rows between clauses")
         if self.df is None:
             self.df = self.graph.spark.createDataFrame([], "empty string").drop("empty")
         elif not self.projected:
@@ -427,6 +561,6 @@ class Planner:
         return Result(self.df, self.graph, self.meta)
 
 
-def run(graph: Graph, text: str, params: dict | None = None, rules: str = "classic") -> Result:
+def run(graph: Graph, text: str, params: dict | None = None, rules: str = "classic", limits: Limits = Limits()) -> Result:  # noqa: B008
     """Plans a query. Nothing is computed until the result's rows are asked for; writes show in result.graph."""
-    return Planner(graph, params or {}, rules).result(L.parse(text))
+    return Planner(graph, params or {}, rules, limits).result(L.parse(text))

@@ -34,11 +34,21 @@ class Lazy(Mapping):
 
 @dataclass(frozen=True)
 class EdgeType:
-    """rows: (edge_id, src, dst, properties...); the labels that its ends have, where all have one."""
+    """rows: (edge_id, src, dst, properties...); the labels that its ends have, where all have one.
+
+    keys: rows also have src_key and dst_key, the ends' whole-number keys. own: (side, column) where the nodes
+    of that side are themselves the edges, with the other end's key in the column, as foreign keys are.
+    """
 
     rows: DataFrame
     src_label: str | None = None
     dst_label: str | None = None
+    keys: bool = False
+    own: tuple[str, str] | None = None
+    kind: str | None = None
+
+    def plain(self) -> DataFrame:
+        return self.rows.drop("src_key", "dst_key")
 
 
 @dataclass(frozen=True)
@@ -63,16 +73,22 @@ class Graph:
     hashes: DataFrame | None = None  # (ns, coll, field, value)
     zsets: DataFrame | None = None  # (ns, coll, member, score)
     overlapping: bool = False  # some node is in the tables of several labels
+    keyed: Mapping[str, str] = field(default_factory=dict)  # label -> key column, where node_id is `label:key`
+    writes: int = 0  # what kv.put and kv.delete have written so far, as a version
 
     def with_nodes(self, label: str, rows: DataFrame) -> Graph:
         have = self.nodes.get(label)
-        return replace(self, nodes={**self.nodes, label: rows if have is None else have.unionByName(rows, allowMissingColumns=True)})
+        return replace(self.unkeyed(label), nodes={**self.nodes, label: rows if have is None else have.unionByName(rows, allowMissingColumns=True)})
+
+    def unkeyed(self, *labels: str) -> Graph:
+        """The graph with these labels' nodes known by node_id alone, since a write may have changed their columns."""
+        return replace(self, keyed={k: v for k, v in self.keyed.items() if k not in labels})
 
     def with_edges(self, kind: str, rows: DataFrame, src: str | None = None, dst: str | None = None) -> Graph:
         have = self.edges.get(kind)
         if have is None:
             return replace(self, edges={**self.edges, kind: EdgeType(rows, src, dst)})
-        same = EdgeType(have.rows.unionByName(rows, allowMissingColumns=True), have.src_label if have.src_label == src else None, have.dst_label if have.dst_label == dst else None)
+        same = EdgeType(have.plain().unionByName(rows, allowMissingColumns=True), have.src_label if have.src_label == src else None, have.dst_label if have.dst_label == dst else None)
         return replace(self, edges={**self.edges, kind: same})
 
     def labelled(self, label: str) -> DataFrame:
@@ -92,10 +108,10 @@ class Graph:
         if not found:
             return EdgeType(self.spark.createDataFrame([], "edge_id string, src string, dst string, type string"))
         if len(found) == 1:
-            return replace(found[0][1], rows=found[0][1].rows.withColumn("type", F.lit(found[0][0])))
+            return replace(found[0][1], rows=found[0][1].rows.withColumn("type", F.lit(found[0][0])), kind=found[0][0])
         rows = None
         for k, e in found:
-            one = e.rows.withColumn("type", F.lit(k))
+            one = e.plain().withColumn("type", F.lit(k))
             rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
         label = lambda side: next(iter(s)) if len(s := {getattr(e, side) for _, e in found}) == 1 else None
         return EdgeType(rows, label("src_label"), label("dst_label"))
@@ -115,10 +131,12 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> Graph:
     def edges(kind: str, name: str, src: str, src_key: str, dst: str, dst_key: str, *props: str) -> Callable[[], EdgeType]:
         a, b = node_key(src, src_key), node_key(dst, dst_key)
         extra = [F.col(props[0]).cast("string")] if props else []
-        return lambda: EdgeType(t(name).select(F.concat_ws("|", a, F.lit(kind), b, *extra).alias("edge_id"), a.alias("src"), b.alias("dst"), *props), src, dst)
+        keys = [F.col(c).cast("bigint").alias(k) for c, k in ((src_key, "src_key"), (dst_key, "dst_key"))]
+        own = next(((side, other) for side, key, other in (("src", src_key, dst_key), ("dst", dst_key, src_key)) if (name, key) in labels.values()), None)
+        return lambda: EdgeType(t(name).select(F.concat_ws("|", a, F.lit(kind), b, *extra).alias("edge_id"), a.alias("src"), b.alias("dst"), *keys, *props), src, dst, True, own)
 
     def vectors() -> VectorIndex:
-        return VectorIndex(t("embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), node_key("Part", "vec_id").alias("node_id")), "cosine", "Part")
+        return VectorIndex(t("embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), node_key("Part", "vec_id").alias("node_id"), F.col("vec_id").cast("bigint").alias("node_key")), "cosine", "Part")
 
     line = ("l_linenumber", "l_quantity")
     labels = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Order": ("orders", "o_orderkey")}
@@ -130,7 +148,7 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> Graph:
         "CONTAINS": ("lineitem", "Order", "l_orderkey", "Part", "l_partkey", *line),
         "SUPPLIED_BY": ("lineitem", "Order", "l_orderkey", "Supplier", "l_suppkey", *line),
     }
-    return Graph(spark, Lazy({k: nodes(k, *v) for k, v in labels.items()}), Lazy({k: edges(k, *v) for k, v in kinds.items()}), Lazy({"docs": vectors}))
+    return Graph(spark, Lazy({k: nodes(k, *v) for k, v in labels.items()}), Lazy({k: edges(k, *v) for k, v in kinds.items()}), Lazy({"docs": vectors}), keyed={k: v[1] for k, v in labels.items()})
 
 
 def bench_graph(spark: SparkSession, users: int, follows: int) -> Graph:
@@ -160,13 +178,11 @@ def sample_films(spark: SparkSession) -> Graph:
 
 def load_statements(graph: Graph, text: str) -> Graph:
     """Runs statements that end in semicolons, with // comments, and returns the graph that they leave."""
-    import re
-
+    from polyquery.plans.language import statements
     from polyquery.plans.planner import run
 
-    for statement in re.sub(r"//[^\n]*", "", text).split(";"):
-        if statement.strip():
-            graph = run(graph, statement).graph
+    for statement in statements(text):
+        graph = run(graph, statement).graph
     return graph
 
 
@@ -185,7 +201,10 @@ def restore_table(spark: SparkSession, path: str, where=None) -> DataFrame:
     return rows if where is None else rows.where(where)
 
 
-def reservoir(rows: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
-    """Exactly min(n, count) rows, each set of rows as likely as any: the n lowest seeded hashes (a top-n, not a full sort)."""
-    key = F.xxhash64(F.lit(seed), F.to_json(F.struct(*rows.columns)))
-    return rows.orderBy(key, *[F.to_json(F.struct(*rows.columns))]).limit(n)
+def reservoir(rows: DataFrame, n: int = 1000, seed: int = 0, key: str | None = None) -> DataFrame:
+    """Exactly min(n, count) rows, each set of rows as likely as any: the n lowest seeded hashes (a top-n, not a full sort).
+
+    key: a column that tells rows apart; by default the whole row does.
+    """
+    of = F.to_json(F.struct(*rows.columns)) if key is None else F.col(key).cast("string")
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), of)), of).limit(n)
