@@ -13,6 +13,10 @@ class WrongType(ValueError):
     """A command of one kind of collection on another kind."""
 
 
+class NotANumber(ValueError):
+    """An increment of text that isn't a number."""
+
+
 def once(log: DataFrame) -> DataFrame:
     """Commands (log_index, idem_key, ...) without repeats of an idempotency key: the first counts; null keys always do."""
     first = W.partitionBy("idem_key").orderBy("log_index")
@@ -61,16 +65,27 @@ def ranged(rows: DataFrame, ns: str, coll: str, limit: int = 0) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
-def incremented(log: DataFrame) -> DataFrame:
-    """(ns, coll, item, value): whole numbers after a log of set (value), incr (delta in value) and remove commands: the sum
+def incremented(log: DataFrame, fractional: bool = False) -> DataFrame:
+    """(ns, coll, item, value): numbers after a log of set (value), incr (delta in value) and remove commands: the sum
     of increments after the last set or remove, on what was set. Values are decimal text; other text is an error."""
-    number = F.col("value").cast("bigint")
+    number = F.col("value").cast("double" if fractional else "bigint")
     base = F.max(F.when(F.col("op") != "incr", F.struct("log_index", "op", "value"))).over(W.partitionBy(*PLACE, "item"))
     rows = log.withColumn("_base", base).where(F.col("_base").isNull() | (F.col("log_index") >= F.col("_base.log_index")))
     out = rows.groupBy(*PLACE, "item").agg(F.sum(F.when(F.col("op") != "remove", number).otherwise(0)).alias("value"), F.max((F.col("op") != "remove").cast("int")).alias("_has"))
     return out.where("_has = 1").select(*PLACE, "item", F.col("value").cast("string").alias("value"))
 
 
+def not_numbers(log: DataFrame, fractional: bool = False) -> DataFrame:
+    """Increments and what they would start from whose text isn't a number of the kind."""
+    return log.where("op <> 'remove' and value is not null").where(F.col("value").try_cast("double" if fractional else "bigint").isNull())
+
+
+def numeric(log: DataFrame, fractional: bool = False) -> DataFrame:
+    if not not_numbers(log, fractional).isEmpty():
+        raise NotANumber("an increment of text that isn't a number")
+    return log
+
+
 def bulk_remove(rows: DataFrame, items: DataFrame, colls: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(what stays, (ns, coll, n) removed): the items go from the listed collections, or all, whatever their kind."""
     at = F.lit(True) if colls is None else F.col("coll").isin(colls)

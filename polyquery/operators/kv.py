@@ -180,3 +180,48 @@ def under_replicated(holders: DataFrame, alive: list[str], target: int) -> DataF
     """(namespace, key, n): keys that fewer than `target` living holders have."""
     count = F.count_distinct(F.when(F.col("holder").isin(alive), F.col("holder"))).alias("n")
     return holders.groupBy(*KEY).agg(count).where(F.col("n") < target)
+
+
+def with_siblings(log: DataFrame) -> DataFrame:
+    """(namespace, key, winner, others): the newest of the writers' newest records, and the rest, oldest first."""
+    every = siblings(log)
+    return every.select(*KEY, F.element_at("siblings", -1).alias("winner"), F.slice("siblings", F.lit(1), F.col("n").cast("int") - 1).alias("others"))
+
+
+def put_once(log: DataFrame, rows: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(the log after, answers (idem_key, version)) of puts (namespace, key, value, version, idem_key, ttl_ms).
+
+    log has idem_key as well. A put whose idempotency key the log or an earlier put (by version) has is not
+    stored; its answer is the stored version. Null keys always store. A time to live sets expires_at.
+    """
+    first = W.partitionBy("idem_key").orderBy("version")
+    named = rows.where("idem_key is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    fresh = named.join(log.select("idem_key").where("idem_key is not null").distinct(), "idem_key", "left_anti").unionByName(rows.where("idem_key is null"))
+    stored = fresh.withColumns({"expires_at": F.lit(now) + F.col("ttl_ms"), "tombstone": F.lit(False)}).drop("ttl_ms")
+    after = log.unionByName(stored, allowMissingColumns=True)
+    known = after.where("idem_key is not null").groupBy("idem_key").agg(F.min("version").alias("version"))
+    return after, rows.where("idem_key is not null").select("idem_key").distinct().join(known, "idem_key")
+
+
+def deleted(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The log with a tombstone for each of keys (namespace, key, version)."""
+    return log.unionByName(keys.withColumn("tombstone", F.lit(True)), allowMissingColumns=True)
+
+
+def ticked(events: DataFrame, node: str, order: str, wall: str) -> DataFrame:
+    """events with physical and logical: each node's hybrid clock, which never runs back and counts on where the wall clock stands."""
+    so_far = W.partitionBy(node).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = events.withColumn("physical", F.max(wall).over(so_far))
+    return rows.withColumn("logical", F.row_number().over(W.partitionBy(node, "physical").orderBy(order)) - 1)
+
+
+def range_digests(rows: DataFrame, part: Column) -> DataFrame:
+    """(part, n, digest): of each range of winners its count and the sum of 60-bit hashes of key and version, whatever their order."""
+    text = F.concat_ws("|", "namespace", "key", *[F.col(f"version.{c}").cast("string") for c in VERSION])
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("digest"))
+
+
+def replicas(members: DataFrame, by: str = "member") -> DataFrame:
+    """(namespace, replicas, members): keys that all members together say they hold, and which members do, in order."""
+    return members.groupBy("namespace").agg(F.sum("keys").alias("replicas"), F.array_join(F.array_sort(F.collect_set(by)), ",").alias("members"))

@@ -88,3 +88,12 @@ def per_second(rows: DataFrame, ts: str, by: list[str], value: str, failed: Colu
     """(by..., start, n, errors, p50, p99) over tumbling windows."""
     w = F.window(ts, width)
     return rows.groupBy(*by, w.alias("w")).agg(F.count("*").alias("n"), F.count_if(failed).alias("errors"), F.expr(f"percentile({value}, 0.5)").alias("p50"), F.expr(f"percentile({value}, 0.99)").alias("p99")).select(*by, F.col("w.start").alias("start"), "n", "errors", "p50", "p99")
+
+
+def window_quantiles(rows: DataFrame, ts: str, by: list[str], value: str, width: str = "1 second") -> DataFrame:
+    """(by..., start, n, p50, p95, p99) over tumbling windows, from mergeable histograms: floors of buckets, no values kept."""
+    counts = histogram(rows.withColumn("start", F.window(ts, width)["start"]), [*by, "start"], value)
+    every = W.partitionBy(*by, "start")
+    rows = counts.withColumn("_c", F.sum("n").over(every.orderBy("bucket"))).withColumn("_t", F.sum("n").over(every))
+    least = [bucket_floor(F.min(F.when(F.col("_c") >= F.lit(q) * F.col("_t"), F.col("bucket")))).alias(name) for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
+    return rows.groupBy(*by, "start").agg(F.sum("n").alias("n"), *least)

@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+BROADCAST_QUERIES = 10_000
 
 
 def metric_of(name: str | None) -> str:
@@ -67,10 +71,14 @@ def top_k(rows: DataFrame, query: list[float], k: int, metric: str = "cosine", w
 
 
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, id, distance, rank) for a small, stated table of queries (query_id, query): each row meets each query once."""
-    met = rows.crossJoin(F.broadcast(queries)).withColumn("distance", distance(F.col("vector"), F.col("query"), metric))
+    """Rows' other columns and (query_id, distance, score, rank) for a stated table of queries (query_id, query): each row meets
+    each query once. Up to BROADCAST_QUERIES queries are broadcast; the best k are kept before and after the shuffle."""
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    met = rows.crossJoin(F.broadcast(queries) if few else queries).where(F.size("vector") == F.size("query"))
+    met = met.withColumn("distance", distance(F.col("vector"), F.col("query"), metric)).drop("vector", "query")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+    score = 1 - F.col("distance") if metric_of(metric) == "cosine" else -F.col("distance")
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", score)
 
 
 def merge_top_k(fragments: list[DataFrame], k: int) -> DataFrame:
@@ -101,6 +109,54 @@ def vector_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("vector_id", name("vector"))
 
 
+def put(rows: DataFrame, new: DataFrame, dimensions: int) -> DataFrame:
+    """rows (vector_id, vector, ...) with new vectors: ids from the values, equal vectors are one and the new row counts.
+
+    A null vector or one of another length is an error.
+    """
+    if not new.where(F.col("vector").isNull() | (F.size("vector") != dimensions)).isEmpty():
+        raise ValueError(f"vectors must have {dimensions} components")
+    new = vector_ids(new).dropDuplicates(["vector_id"])
+    return rows.join(new.select("vector_id"), "vector_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def removed(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (vector_id, ...) without the vectors (vector) given by value."""
+    return rows.join(vector_ids(gone.select("vector")).select("vector_id").distinct(), "vector_id", "left_anti")
+
+
+def stored(rows: DataFrame, index, path: str) -> DataFrame:
+    """rows written by bucket (`cell`), so that a search reads the buckets it probes alone."""
+    index.assigned(rows).write.mode("overwrite").partitionBy("cell").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def compacted(base: str, rows: DataFrame, delta: DataFrame, index, path: str) -> DataFrame:
+    """A stored segment with a delta (see latest) folded in, written as a new segment at path; rows is what lies at base."""
+    if path == base:
+        raise ValueError("write the new segment beside the old one")
+    return stored(latest(rows.drop("cell"), delta), index, path)
+
+
+def with_cells(rows: DataFrame, bucket) -> DataFrame:
+    """rows with `cell`: bucket(points) of each Arrow batch at once; -1 for null vectors and other lengths."""
+    import pyarrow as pa
+
+    at, schema = rows.columns.index("vector"), rows.schema
+
+    def run(batches):
+        for b in batches:
+            vectors = b.column(at).to_pylist()
+            size = max((len(v) for v in vectors if v is not None), default=0)
+            fine = [i for i, v in enumerate(vectors) if v is not None and len(v) == size]
+            cell = np.full(len(vectors), -1, np.int32)
+            if fine:
+                cell[fine] = bucket(np.array([vectors[i] for i in fine], float))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
+
+    return rows.mapInArrow(run, T.StructType([*schema.fields, T.StructField("cell", T.IntegerType())]))
+
+
 @dataclass(frozen=True)
 class Hyperplanes:
     """Sign buckets of random hyperplanes; the planes are data, drawn once from a seed."""
@@ -132,7 +188,13 @@ class Hyperplanes:
             out += [own ^ sum(1 << i for i in bits) for bits in sets]
         return out[:n]
 
+    def assigned(self, rows: DataFrame) -> DataFrame:
+        planes = np.array(self.planes)
+        return with_cells(rows, lambda x: ((x @ planes.T >= 0) << np.arange(len(planes))).sum(axis=1))
+
     def candidates(self, rows: DataFrame, query: list[float], ef: int | None = None) -> DataFrame:
+        if "cell" in rows.columns:
+            return rows.where(F.col("cell").isin(self.probes(query, ef or 2 * len(self.planes))))
         return rows.where(self.bucket(F.col("vector")).isin(self.probes(query, ef or 2 * len(self.planes))))
 
 
@@ -166,6 +228,10 @@ class Cells:
         far = F.array(*[F.struct(distance(vector, constant(list(c)), "l2").alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centroids)])
         return F.array_min(far)["i"]
 
+    def assigned(self, rows: DataFrame) -> DataFrame:
+        centres = np.array(self.centroids)
+        return with_cells(rows, lambda x: ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1))
+
     def candidates(self, rows: DataFrame, query: list[float], ef: int | None = None) -> DataFrame:
         """Rows of the cells nearest the query; with a stored `cell` column the filter prunes partitions or row groups."""
         d = ((np.array(self.centroids) - np.asarray(query, float)) ** 2).sum(axis=1)

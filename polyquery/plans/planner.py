@@ -454,7 +454,7 @@ class Planner:
             each = self.df.where(F.col(asked).isNotNull()).select(F.col(asked).alias("query_id"), F.col(asked).alias("query")).distinct()
             hits = vectors.batch_top_k(rows, each, k.constant, ix.metric).withColumnRenamed("query_id", "_asked")
         keyed = ix.label in self.graph.keyed and "node_key" in rows.columns
-        hits = hits.select(F.col("node_key").alias("_hit") if keyed else F.coalesce("node_id", "id").alias("_hit"), "score", *(["_asked"] if asked else []))
+        hits = hits.select(F.col("node_key").alias("_hit") if keyed else F.coalesce("node_id", F.col("id").cast("string")).alias("_hit"), "score", *(["_asked"] if asked else []))
         bound, name = Bound("node"), f"node{SEP}{SEP}{'key' if keyed else 'id'}"
         if ix.label:
             nodes, bound = self.nodes_as(ix.label, "node") if keyed else (lambda x: (x[0], Bound("node", x[1], labels=(ix.label,))))(self.prefixed(self.graph.labelled(ix.label), "node", "node_id"))

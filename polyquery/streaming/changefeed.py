@@ -35,3 +35,15 @@ def windowed(stream: DataFrame, ts: str, by: list[str], failed, width: str = "1
     """(by..., start, n, errors) over tumbling windows of event time, closed once the watermark passes."""
     rows = stream.withWatermark(ts, late).groupBy(*by, F.window(ts, width).alias("w"))
     return rows.agg(F.count("*").alias("n"), F.count_if(failed).alias("errors")).select(*by, F.col("w.start").alias("start"), "n", "errors")
+
+
+def drained(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """What a stream holds by now, appended to target in one go and read again; a second call takes only what is new."""
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(target)
+
+
+def observed(stream: DataFrame, kinds: list[str] | None = None, peers: list[str] | None = None) -> DataFrame:
+    """Events (kind, peer, ...) of the kinds and peers asked for; nothing is dropped, so there are no gaps to mark."""
+    rows = stream if kinds is None else stream.where(F.col("kind").isin(kinds))
+    return rows if peers is None else rows.where(F.col("peer").isin(peers))

@@ -484,3 +484,6 @@ def _converge(spark, d):
 @query("history_idempotency", "SELECT user_id AS request_id, count(DISTINCT value) AS n FROM events GROUP BY 1 HAVING n > 1")
 def _idem(spark, d):
     return history.idempotency(_reads(spark, d).withColumns({"kind": F.lit("write"), "request_id": F.col("session"), "written": F.col("observed")})).select("request_id", "n")
+
+
+from polyquery import suite_more  # noqa: E402, F401  (more queries, registered on import)

@@ -4,6 +4,7 @@ from polyquery.plans.language import QueryError
 from polyquery.plans.planner import run
 from polyquery.sources.catalog import Graph, bench_graph, load_statements, sample_films
 
+# The people, the follows and the answers of test_golden are those that the language's own rules are checked with.
 PEOPLE = [("alice", "Alice", 30, "NYC"), ("bob", "Bob", 40, "NYC"), ("carol", "Carol", 25, "SF"), ("dave", "Dave", 35, "LA"), ("eve", "Eve", 45, "NYC"), ("frank", "Frank", 28, "SF"), ("grace", "Grace", 50, "LA"), ("heidi", "Heidi", 33, "NYC")]
 FOLLOWS = [("alice", "bob"), ("alice", "carol"), ("bob", "carol"), ("dave", "eve"), ("eve", "grace"), ("heidi", "alice"), ("frank", "heidi"), ("grace", "alice")]
 
@@ -79,3 +80,36 @@ def test_other_graphs(spark):
     g = bench_graph(spark, 20, 60)
     assert len(column(g, "MATCH (u:User) RETURN u.name")) == 20
     assert all(a != b for a, b in run(g, "MATCH (a:User)-[:FOLLOWS]->(b) RETURN a, b").df.collect())
+
+
+def test_limits_and_procedures(spark, social):
+    from polyquery.plans.planner import Limits
+
+    with pytest.raises(QueryError):
+        run(social, "MATCH (a)" + "-[:FOLLOWS]->(b)" * 9 + " RETURN 1 AS one")
+    with pytest.raises(QueryError):
+        run(social, "MATCH (n:User) RETURN n.name", limits=Limits(intermediate=3))
+    for text in ("CALL vector.search('docs', [1.0], 3)", "CALL kv.put('a', 'b')", "CALL kv.put('a', 'b', 3)", "CALL kv.put('a', 'b', 'c') YIELD node", "CALL vector.searchExact('none', [1.0], 3)", "MERGE (n)", "DETACH DELETE n"):
+        with pytest.raises(QueryError):
+            run(social, text)
+    g = run(social, "CALL kv.put('a', 'k', 'v')").graph
+    assert column(g, "UNWIND ['k', 'x'] AS k RETURN kv.get('a', k)") == ["v", None]
+
+
+def test_strings_hold_comment_signs_and_semicolons(spark):
+    g = load_statements(Graph(spark), "CREATE (a:Page {id:'a', url:'http://x.y/;z'}); // a comment; with a semicolon\nCREATE (b:Page {id:'b', url:\"// no\"});")
+    assert column(g, "MATCH (p:Page) RETURN p.url") == ["// no", "http://x.y/;z"]
+
+
+def test_ids_are_looked_up_by_key(spark, sf_dir):
+    from polyquery.sources.catalog import tpch_graph
+
+    g = tpch_graph(spark, sf_dir)
+    plan = run(g, "MATCH (c:Customer) WHERE c = 'customer:17' RETURN c.c_name AS name").df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(c_custkey,17)" in plan
+    hop = run(g, "MATCH (c:Customer)-[:LOCATED_IN]->(n) RETURN c.c_name AS name, n.n_name AS nation").df._jdf.queryExecution().optimizedPlan().toString()
+    assert hop.count("Relation [") == 2 and "concat" not in hop
+    assert column(g, "MATCH (c:Customer) WHERE c = 'customer:017' OR c = 'nation:17' RETURN c") == []
+    assert column(g, "MATCH (c:Customer {id: 'customer:17'}) RETURN c") == ["customer:17"]
+    changed = run(g, "MATCH (n:Nation) SET n.n_nationkey = 0").graph
+    assert len(column(changed, "MATCH (c:Customer)-[:LOCATED_IN]->(n) RETURN n")) == len(column(g, "MATCH (c:Customer) RETURN c"))

@@ -153,3 +153,28 @@ def test_stream_equals_batch(spark, tmp_path):
     changefeed.keep_latest(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name))
     assert {tuple(r) for r in spark.read.parquet(str(last)).select("key", "value").collect()} == {tuple(r) for r in kv.winners(log(spark, ROWS)).select("key", "value").collect()}
+
+
+def test_stored_cells_and_recall(spark, tmp_path):
+    """A stored index reads the cells it probes alone, finds 95 % of the ten nearest, and takes a delta in."""
+    rows = suite._vectors(spark, "/root/testdata/sf0.01").drop("label")
+    cells = vectors.Cells.trained(rows, suite.IVF_CELLS, probes=suite.IVF_PROBES)
+    kept = vectors.stored(rows, cells, str(tmp_path / "a"))
+    by_rule = {r.id: r.cell for r in rows.select("id", cells.cell(F.col("vector")).alias("cell")).collect()}
+    assert {r.id: r.cell for r in kept.select("id", "cell").collect()} == by_rule
+    q = suite._first(spark, "/root/testdata/sf0.01")
+    near = cells.candidates(kept, q)
+    assert "PartitionFilters: [cell" in near._jdf.queryExecution().executedPlan().toString().replace("PartitionFilters: [isnotnull(cell#", "PartitionFilters: [cell(")
+    planes = vectors.Hyperplanes.drawn(*suite.LSH)
+    assert {(r.id, r.cell) for r in planes.assigned(rows).select("id", "cell").collect()} == {(r.id, r.b) for r in rows.select("id", planes.bucket(F.col("vector")).alias("b")).collect()}
+    delta = rows.where("id < 5").withColumn("tombstone", F.lit(True))
+    assert vectors.compacted(str(tmp_path / "a"), kept, delta, cells, str(tmp_path / "b")).count() == rows.count() - 5
+    with pytest.raises(ValueError):
+        vectors.put(vectors.vector_ids(rows), rows.select("id", F.slice("vector", F.lit(1), 3).alias("vector")), 64)
+
+
+def test_numbers_are_checked(spark):
+    rows = spark.createDataFrame([(1, "incr", "n", "h", "f", "1.5"), (2, "incr", "n", "h", "f", "x")], "log_index bigint, op string, ns string, coll string, item string, value string")
+    with pytest.raises(collections.NotANumber):
+        collections.numeric(rows, True)
+    assert collections.incremented(collections.numeric(rows.limit(1), True), True).first().value == "1.5"
