@@ -140,11 +140,11 @@ def _replay(spark, d):
     return kv.put_once(log, puts, NOW)[1].select("idem_key", F.col("version.sequence").alias("sequence"))
 
 
-@query("kv_delete_keys", _LOG + "SELECT key, sequence FROM win WHERE NOT tombstone AND key NOT IN (SELECT 'user:' || user_id FROM events WHERE event_type = 'purchase')")
+@query("kv_delete_keys", _LOG + "SELECT key, sequence FROM win WHERE NOT tombstone AND key NOT IN (SELECT 'user:' || user_id FROM events WHERE event_type = 'purchase' AND event_id % 10 = 0)")
 def _deleted(spark, d):
     log = _log(spark, d)
     v = kv.version(F.lit(1 << 60), F.lit(0).cast("bigint"), F.lit("z"), F.lit("z"), F.lit(0).cast("bigint"))
-    gone = table(spark, d, "events").where("event_type = 'purchase'").select(F.lit("events").alias("namespace"), F.concat(F.lit("user:"), "user_id").alias("key"), v.alias("version")).distinct()
+    gone = table(spark, d, "events").where("event_type = 'purchase' and event_id % 10 = 0").select(F.lit("events").alias("namespace"), F.concat(F.lit("user:"), "user_id").alias("key"), v.alias("version")).distinct()
     return kv.winners(kv.deleted(log, gone)).where("not tombstone").select("key", F.col("version.sequence").alias("sequence"))
 
 
