@@ -119,50 +119,42 @@ def fingerprint_groups(docs: DataFrame, group_col: str, k: int = K, shingle: int
 
 
 def followed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs (id, text) dealt into ranges of id, with each range's next document as one more row (more = 1).
+    """docs (id, text) dealt into ranges of (id, hash of the text), with each range's next row as one more row (more = 1).
 
-    The ranges' bounds and first ids are the only things on the driver: a few numbers for each range.
+    A range begins at an id; an id (or null) that holds the rows of several ranges is split further by its
+    texts' hashes. The ranges' bounds and first rows are the only things on the driver: a few numbers each.
     """
     spark = docs.sparkSession
-    rows = docs.count()
+    rows, nulls = docs.select(F.count("*"), F.count_if(F.col("id").isNull())).first()
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 100_000)
-    ids = docs.select("id")
-    bounds = ids.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if rows else []
-    cuts = np.unique(np.array(bounds, np.float64))
-    part = F.lit(0)
-    for c in [] if len(cuts) > 512 else cuts.tolist():
-        part = part + (F.col("id") >= F.lit(int(c))).cast("int")
-    if len(cuts) > 512:
-
-        @F.pandas_udf("int")
-        def part_of(x):
-            return __import__("pandas").Series(np.searchsorted(cuts, x.fillna(-np.inf).to_numpy(np.float64), "right").astype(np.int32))
-
-        part = part_of("id")
-    part = F.when(F.col("id").isNull(), F.lit(0)).otherwise(part).cast("int")
-    firsts = sorted(tuple(r) for r in ids.withColumn("part", part).groupBy("part").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.count("id").alias("ids")).select("part", F.when(F.col("n") > F.col("ids"), F.lit(None)).otherwise(F.col("id"))).collect())
-    before = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    helper = F.lit(None).cast("int")
-    for first, to in before:  # as many as there are ranges
-        helper = F.when(F.col("id").eqNullSafe(F.lit(first).cast("bigint")), F.lit(to)).otherwise(helper) if len(before) <= 512 else helper
-    dealt = docs.withColumn("part", part)
-    if len(before) > 512:
-        small = spark.createDataFrame(before, "first bigint, helper int")
-        dealt = dealt.join(F.broadcast(small), F.col("id").eqNullSafe(F.col("first")), "left").drop("first")
-    else:
-        dealt = dealt.withColumn("helper", helper)
+    bounds = docs.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if rows > nulls else []
+    cuts, times = np.unique(np.array([min(int(b), (1 << 63) - 1) for b in bounds], np.int64), return_counts=True)
+    slots = np.concatenate(([max(1, n * nulls // max(rows, 1))], [1], np.where(times > 1, times, 0) + 1))  # of nulls, of ids below the cuts, of each cut's range
+    cut_at, slots_of, first_of = (F.lit(x.astype(np.int64)) for x in (cuts, slots, np.cumsum(slots) - slots))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))]) if len(cuts) else F.array(F.lit(1))
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cut_at, at + step - 1) <= F.col("id"), at + step).otherwise(at))  # binary search
+    dealt = docs.withColumn("place", F.when(F.col("id").isNull(), 0).otherwise(below + 1)).withColumn("slots", F.get(slots_of, "place"))
+    at_cut = F.coalesce(F.col("id") == F.get(cut_at, F.greatest(F.col("place") - 2, F.lit(0))), F.lit(False))
+    split = F.lit(bool((slots > 1).any())) & (F.col("slots") > 1) & ((F.col("place") == 0) | at_cut)
+    dealt = dealt.withColumn("hash", F.when(split, F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")))
+    share = F.shiftright((F.shiftright("hash", 32) + (1 << 31)) * (F.col("slots") - (F.col("place") != 0).cast("int")), 32)
+    dealt = dealt.withColumn("part", (F.get(first_of, "place") + F.when(split, share).otherwise(F.col("slots") - 1)).cast("int"))
+    firsts = sorted((r.part, r.x.id, r.x.hash) for r in dealt.groupBy("part").agg(F.min(F.struct("id", "hash")).alias("x")).collect())
+    before = [(i, h, firsts[j - 1][0]) for j, (_, i, h) in enumerate(firsts)]
+    small = spark.createDataFrame(before, "first bigint, first_hash bigint, helper int")  # a row for each range
+    dealt = dealt.join(F.broadcast(small), F.col("id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("first_hash")), "left")
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("more"))
     extra = F.struct(F.col("helper").alias("part"), F.lit(1).alias("more"))
     dealt = dealt.select("id", "text", F.explode(F.when(F.col("helper").isNull(), F.array(own)).otherwise(F.array(own, extra))).alias("x"))
     dealt = dealt.select("id", "text", F.col("x.part").alias("part"), F.col("x.more").alias("more"))
-    return dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "more", F.col("id").asc_nulls_first(), "text"), n
+    return dealt.repartitionById(int(slots.sum()), F.col("part")).sortWithinPartitions("part", "more", F.col("id").asc_nulls_first(), F.xxhash64("text"), "text"), int(slots.sum())
 
 
 def compare_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, in which the next document's beginning replaces the second half.
 
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). The next row is
-    that of the next larger id (bigint), ties by text, null ids first; after the last row comes the first;
+    that of the next larger id (bigint), ties by the text's hash and then text, null ids first; after the last row comes the first;
     a single row is followed by itself. A null text is empty. Other columns play no part; an empty table
     gives an empty table. Texts pass one shuffle by ranges of id, whose sorted rows stream through each task.
     """

@@ -164,10 +164,30 @@ def test_next_documents(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
     assert fingerprints.compare_next(frame(spark, [])).collect() == []
     assert len(fingerprints.compare_next(frame(spark, ODD)).collect()) == len(ODD) + 2
+    assert len(fingerprints.compare_next(spark.createDataFrame([(None, "a"), (None, None)], "doc_id bigint, text string")).collect()) == 2
     groups = {r.source: r.n_shingles for r in fingerprints.fingerprint_groups(frame(spark, ["a b c d e f", "b c d e f g"]), "source").collect()}
     assert groups == {"s": 3.0, None: 1.0}
 
 
+def test_rows_that_share_an_id_are_dealt_over_ranges(spark):
+    """A third of the rows without an id and a third with one id: each is followed as in one sorted list, over several ranges."""
+    ids = [None] * 80 + [7] * 80 + [1 << 60, -5] + list(range(8, 90))
+    df = spark.createDataFrame([(k, f"text {i} {i * i}") for i, k in enumerate(ids)], "doc_id bigint, text string").repartition(4)
+    order = [tuple(r) for r in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect()]
+    want = []
+    for i, (k, t) in enumerate(order):
+        u, h = order[(i + 1) % len(order)][1], len(t) // 2
+        want.append((k is None, k or 0, len(t), hashlib.sha256((t[: len(t) - h] + u[:h]).encode()).hexdigest()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (before, "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = [(r.doc_id is None, r.doc_id or 0, r.n_chars, r.edited_sha256) for r in fingerprints.compare_next(df).collect()]
+        sizes = [r["count"] for r in fingerprints.followed(df.withColumnRenamed("doc_id", "id"))[0].where("more = 0").groupBy("part").count().collect()]
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert sorted(got) == sorted(want)
+    assert max(sizes) < 40
+
+
 def test_quality_model_learns_an_interaction(spark):
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
