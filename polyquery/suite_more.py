@@ -68,7 +68,7 @@ _L2 = "list_distance(x.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 @query("vector_call_each_row", f"SELECT q.vec_id AS q, x.vec_id AS found, round(-{_L2}, 5) AS score FROM embeddings q, embeddings x WHERE q.label = 3 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2}, x.vec_id) <= 3")
 def _each_row(spark, d):
     df = run(_vector_graph(spark, d), "MATCH (v:Vec {label: 3}) CALL vector.searchExact('vecs', v.embedding, 3) YIELD node, score RETURN v.vec_id AS q, node.vec_id AS found, score").df
-    return df.withColumn("score", F.round("score", 5))
+    return df.withColumn("score", -F.round(-F.col("score"), 5))  # the negative of a distance, -0.0 included
 
 
 @query("vector_search_approx")
