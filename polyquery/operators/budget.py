@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLACK_MS = 1500  # what a lease's reclaim waits beyond its time to live, besides the largest pause
 STATE = "ns string, budget string, cap bigint, available bigint, leased bigint, spent bigint, granted bigint, refused bigint, errors bigint"
+Command = namedtuple("Command", "ns budget op lease holder amount ttl rate burst pause now log_index")
 
 
 class Pool:
@@ -98,16 +101,37 @@ class Pool:
 def fold(log: DataFrame) -> DataFrame:
     """Final state of each budget from commands (ns, budget, log_index, op, lease, holder, amount, ttl, rate, burst, pause, now).
 
-    Commands change one budget only and their order counts, so each budget is one group; budgets are dealt over tasks.
+    Commands change one budget only and their order counts: budgets are dealt over tasks, and each task folds its
+    sorted commands as they come, holding one budget's state and never its log. Null numbers count as 0.
     """
+    numbers = [F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in ("amount", "ttl", "rate", "burst", "pause", "now")]
+    rows = log.select("ns", "budget", "op", "lease", "holder", *numbers, "log_index").repartition("ns", "budget")
+
+    def run(batches):
+        key, pool = None, None
+        for b in batches:
+            done = []
+            for c in map(Command._make, zip(*(x.to_pylist() for x in b.columns), strict=True)):
+                if (c.ns, c.budget) != key or pool is None:
+                    if pool is not None:
+                        done.append(state(key, pool))
+                    key, pool = (c.ns, c.budget), Pool()
+                pool.apply(c)
+            if done:
+                yield table(done)
+        if pool is not None:
+            yield table([state(key, pool)])
+
+    return rows.sortWithinPartitions("ns", "budget", "log_index").mapInArrow(run, STATE)
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        pool = Pool()
-        for c in rows.sort_values("log_index").itertuples():
-            pool.apply(c)
-        return pd.DataFrame([[*key, pool.cap or 0, pool.available, pool.leased, pool.spent, pool.granted, pool.refused, pool.errors]], columns=[c.split()[0] for c in STATE.split(", ")])
 
-    return log.groupBy("ns", "budget").applyInPandas(one, STATE)
+def state(key: tuple, pool: Pool) -> tuple:
+    return (*key, pool.cap or 0, pool.available, pool.leased, pool.spent, pool.granted, pool.refused, pool.errors)
+
+
+def table(rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in STATE.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.string() if k == "string" else pa.int64()) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
 
 def reported(reports: DataFrame, leases: DataFrame) -> DataFrame:
@@ -118,26 +142,39 @@ def reported(reports: DataFrame, leases: DataFrame) -> DataFrame:
 
 
 class Spender:
-    """A holder's side of a lease: spends from its chunks, and stops itself after a pause longer than it may be."""
+    """A holder's side of a lease: it spends from the chunks it was granted, in order, each up to its deadline.
 
-    def __init__(self, pause: int) -> None:
-        self.chunks: list[int] = []
-        self.pause, self.last, self.fenced = pause, None, False
+    After a pause longer than it may be (0: any), all chunks are dropped, since the lease may be gone: only a new grant
+    serves again. With a rate, spends are paced by tokens that accrue with time, up to `burst`.
+    """
 
-    def grant(self, amount: int) -> None:
-        self.chunks.append(amount)
+    def __init__(self, pause: int, rate: int = 0, burst: int = 0, now: int = 0) -> None:
+        self.pause, self.rate, self.burst = pause, rate, burst
+        self.tokens, self.at = burst, now
+        self.chunks: list[list] = []  # [left, deadline or None]
+        self.last: int | None = None
+
+    def grant(self, amount: int, deadline: int | None = None) -> None:
+        self.chunks.append([amount, deadline])
 
     def spend(self, n: int, now: int) -> bool:
+        """Whether n was spent; what is refused (paused, paced, empty) changes no chunk that is still good."""
         if n <= 0:
             return True
-        if self.last is not None and now - self.last > self.pause:
-            self.fenced = True
-        self.last = now
-        if self.fenced:
+        if self.last is not None and 0 < self.pause < now - self.last:
+            self.chunks, self.last = [], now
             return False
-        while self.chunks and self.chunks[0] < n:
-            self.chunks.pop(0)  # too small for this spend: the next chunk takes over
-        if not self.chunks:
+        if self.rate > 0:
+            self.tokens = min(self.burst, self.tokens + self.rate * max(0, now - self.at) // 1000)
+            self.at = now
+            if self.tokens < n:
+                return False
+        while self.chunks and (self.chunks[0][0] == 0 or (self.chunks[0][1] is not None and now >= self.chunks[0][1])):
+            self.chunks.pop(0)
+        if not self.chunks or self.chunks[0][0] < n:
             return False
-        self.chunks[0] -= n
+        self.chunks[0][0] -= n
+        if self.rate > 0:
+            self.tokens -= n
+        self.last = now
         return True

@@ -390,7 +390,15 @@ def _latest(spark, d):
     v = kv.version(ms, F.lit(0).cast("bigint"), F.concat(F.lit("c"), F.col("event_id") % 2), F.col("event_type"), F.col("event_id"))
     rows = _stream(spark, d).select(F.lit("events").alias("namespace"), F.concat(F.lit("user:"), "user_id").alias("key"), F.col("props").alias("value"), v.alias("version"), (F.col("event_type") == "error").alias("tombstone"))
     changefeed.keep_latest(rows, f"{at}/state", f"{at}/checkpoint").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{at}/state/0").select("key", F.col("version.sequence").alias("sequence"))
+    return changefeed.latest(spark, f"{at}/state", rows.schema).select("key", F.col("version.sequence").alias("sequence"))
+
+
+@query("stream_expired", _LOG + ", whole AS (SELECT key, sequence, tombstone, epoch_us(ts) // 1000 AS ms FROM win JOIN events ON event_id = sequence) SELECT key, sequence, ms + 3600000 AS expires_at FROM whole WHERE NOT tombstone AND sequence % 4 = 0 AND ms + 3600000 < (SELECT max(epoch_us(ts) // 1000) - 10000 FROM events)")
+def _expired(spark, d):
+    ms = millis("ts")
+    v = kv.version(ms, F.lit(0).cast("bigint"), F.concat(F.lit("c"), F.col("event_id") % 2), F.col("event_type"), F.col("event_id"))
+    rows = _stream(spark, d).select(F.lit("events").alias("namespace"), F.concat(F.lit("user:"), "user_id").alias("key"), v.alias("version"), F.when(F.col("event_id") % 4 == 0, ms + 3_600_000).alias("expires_at"), (F.col("event_type") == "error").alias("tombstone"))
+    return _drained(spark, changefeed.expired(rows)).select("key", F.col("version.sequence").alias("sequence"), "expires_at")
 
 
 # history: purchases are writes, views are reads; a key is a user, a version the event's value

@@ -151,8 +151,74 @@ def test_stream_equals_batch(spark, tmp_path):
         log(spark, rows[i : i + 5]).write.mode("append").parquet(folder)
     stream = changefeed.changes(spark, folder, log(spark, ROWS).schema)
     changefeed.keep_latest(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name))
-    assert {tuple(r) for r in spark.read.parquet(str(last)).select("key", "value").collect()} == {tuple(r) for r in kv.winners(log(spark, ROWS)).select("key", "value").collect()}
+    last = changefeed.latest(spark, str(tmp_path / "out"), log(spark, ROWS).schema)
+    assert {tuple(r) for r in last.select("key", "value").collect()} == {tuple(r) for r in kv.winners(log(spark, ROWS)).select("key", "value").collect()}
+
+
+def test_runs_merge_as_batches_come(spark, tmp_path):
+    """Nine batches of one file each: the state is the batch answer after every call, and few runs are left."""
+    assert changefeed.runs(0) == [] and changefeed.runs(6) == [(0, 4), (4, 5), (5, 6)] and changefeed.runs(16) == [(0, 16)]
+    folder, target, schema = str(tmp_path / "in"), str(tmp_path / "out"), log(spark, ROWS).schema
+    assert changefeed.latest(spark, target, schema).count() == 0
+    seen = []
+    for i in range(9):
+        new = [(f"k{j}", f"{i}", (i * 7 + j) % 10, "c", "m", i, None, j == i) for j in range(i % 3, 6)]
+        seen += new
+        log(spark, new).write.mode("append").parquet(folder)
+        changefeed.keep_latest(changefeed.changes(spark, folder, schema), target, str(tmp_path / "ck")).awaitTermination()
+        want = {tuple(r) for r in kv.winners(log(spark, seen)).select("key", "value", "tombstone").collect()}
+        assert {tuple(r) for r in changefeed.latest(spark, target, schema).select("key", "value", "tombstone").collect()} == want
+    assert len(list((tmp_path / "out").iterdir())) <= 6
+
+
+def test_records_expire_once_the_watermark_passes(spark, tmp_path):
+    """What is superseded in time, deleted, without an end, or not yet due stays; the rest is reported once."""
+    folder = str(tmp_path / "in")
+    first = [("due", "1", 1000, "c", "m", 1, 5000, False), ("renewed", "1", 1000, "c", "m", 2, 5000, False), ("renewed", "2", 2000, "c", "m", 3, 900_000, False), ("dead", None, 1000, "c", "m", 4, 5000, True), ("endless", "1", 1000, "c", "m", 5, None, False)]
+    later = [("clock", "1", 100_000, "c", "m", 6, None, False)]
+    got = []
+    for rows in (first, later):
+        log(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        stream = changefeed.expired(changefeed.changes(spark, folder, log(spark, ROWS).schema))
+        got = sorted(tuple(r) for r in changefeed.drained(stream, str(tmp_path / "out"), str(tmp_path / "ck")).select("key", "version.sequence", "expires_at").collect())
+        if rows is first:
+            assert got == []
+    assert got == [("due", 1, 5000)]
+
+
+def test_spenders_pause_pace_and_pass_deadlines():
+    s = budget.Spender(100)
+    s.grant(5)
+    assert s.spend(5, 0) and not s.spend(1, 50)
+    s.grant(4, deadline=80)
+    s.grant(9)
+    assert s.spend(1, 60) and not s.spend(4, 70) and s.spend(4, 90)  # too small isn't drained; past its deadline it goes
+    assert not s.spend(1, 500)
+    s.grant(2)
+    assert s.spend(2, 510)
+    paced = budget.Spender(0, rate=10, burst=3)
+    paced.grant(100)
+    assert paced.spend(3, 0) and not paced.spend(1, 50) and paced.spend(1, 200)
+
+
+def test_budgets_against_a_plain_fold(spark):
+    r = random.Random(3)
+    ops = ["grant", "grant", "report", "return", "expire", "collect", "reconcile", "nonsense"]
+    rows = []
+    for b in ("x", "y", "z"):
+        rows.append(("n", b, 0, "define", "", "", 500, 0, 10 if b == "y" else 0, 50, 20, 0))
+        rows += [("n", b, i, r.choice(ops), f"l{r.randint(0, 9)}", r.choice("hk"), r.randint(0, 80), r.choice((0, 3000)), 0, 0, 0, i * 100) for i in range(1, 300)]
+    names = "ns budget log_index op lease holder amount ttl rate burst pause now".split()
+    shuffled = spark.createDataFrame(r.sample(rows, len(rows)), "ns string, budget string, log_index bigint, op string, lease string, holder string, amount bigint, ttl bigint, rate bigint, burst bigint, pause bigint, now bigint")
+    want = set()
+    for b in ("x", "y", "z"):
+        pool = budget.Pool()
+        for row in sorted(x for x in rows if x[1] == b):
+            pool.apply(budget.Command(**dict(zip(names, row, strict=True))))
+            assert pool.cap == pool.available + pool.leased + pool.spent or row[3] == "reconcile" or pool.available == 0
+        want.add(budget.state(("n", b), pool))
+    assert {tuple(x) for x in budget.fold(shuffled).collect()} == want
+    assert budget.fold(shuffled.limit(0)).collect() == []
 
 
 def test_stored_cells_and_recall(spark, tmp_path):
