@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SUB = 8  # sub-buckets of each power of two
 EXPIRY_MS = 30_000
@@ -27,11 +28,26 @@ def may_hold(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def smoothed(samples: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.2) -> DataFrame:
-    """(by..., ewma): exponentially weighted means in order; the first sample seeds."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double"))
-    fold = F.aggregate(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0))), F.element_at("x", 1), lambda s, v: F.lit(1 - alpha) * s + F.lit(alpha) * v)
-    return samples.groupBy(*by).agg(ordered.alias("x")).select(*by, fold.alias("ewma"))
+def smoothed(samples: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.2, rows_per_part: int = 100_000) -> DataFrame:
+    """(by..., ewma): exponentially weighted means in the order of (order, value); the first sample seeds. Null samples are left out.
+
+    A mean over consecutive samples is a weight for what came before plus a sum of its own, so each group is cut into
+    stretches of `order` (a number, date or time) that are summed apart and put together: no group meets in one task.
+    """
+    old = 1 - alpha
+    timed = isinstance(samples.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    at = (F.col(order).cast("timestamp") if timed else F.col(order)).cast("double")
+    rows = samples.where(F.col(value).isNotNull()).select(*by, F.col(order).alias("_o"), F.col(value).cast("double").alias("_x"), at.alias("_at"))
+    low, high, n = rows.agg(F.min("_at"), F.max("_at"), F.count("*")).first()
+    parts = n // rows_per_part + 1
+    part = F.floor((F.col("_at") - low) / ((high - low) / parts)) if low is not None and low < high and parts > 1 else F.lit(0)
+    rows = rows.withColumn("_p", F.when(F.col("_at").isNull(), -1).otherwise(F.least(part.cast("bigint"), F.lit(parts - 1))))
+    rank = F.row_number().over(W.partitionBy(*by, "_p").orderBy(F.col("_o").desc(), F.col("_x").desc()))
+    first = F.min(F.struct("_o", "_x")).alias("_f")
+    sums = rows.withColumn("_r", rank).groupBy(*by, "_p").agg(F.sum(F.pow(F.lit(old), F.col("_r") - 1) * F.col("_x")).alias("_s"), F.count("*").alias("_n"), first)
+    later = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = sums.withColumn("_l", later).groupBy(*by).agg(F.sum(F.pow(F.lit(old), F.col("_l")) * F.col("_s")).alias("_s"), F.sum("_n").alias("_n"), F.min("_f")["_x"].alias("_f"))
+    return total.select(*by, (F.lit(alpha) * F.col("_s") + F.pow(F.lit(old), F.col("_n")) * F.col("_f")).alias("ewma"))
 
 
 def last_quantile(samples: DataFrame, by: list[str], order: list[str], value: str, q: float = 0.95, last: int = 64) -> DataFrame:

@@ -186,6 +186,22 @@ def test_records_expire_once_the_watermark_passes(spark, tmp_path):
     assert got == [("due", 1, 5000)]
 
 
+@pytest.mark.parametrize("size", [100_000, 40, 1])
+def test_smoothing_in_stretches_is_the_plain_fold(spark, size):
+    r = random.Random(5)
+    rows = [(r.choice(["hot", "hot", "cold", None]), r.choice([None, *range(60)]), r.choice([None, r.uniform(-9, 9)])) for _ in range(400)]
+    want = {}
+    for g in ("hot", "cold", None):
+        s = None
+        for _, x in sorted(((-1 if t is None else t), x) for k, t, x in rows if k == g and x is not None):
+            s = x if s is None else 0.8 * s + 0.2 * x
+        want[g] = s
+    df = spark.createDataFrame(rows, "g string, t bigint, v double")
+    got = {x.g: x.ewma for x in statistics.smoothed(df, ["g"], "t", "v", rows_per_part=size).collect()}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    assert statistics.smoothed(df.limit(0), ["g"], "t", "v").collect() == []
+
+
 def test_spenders_pause_pace_and_pass_deadlines():
     s = budget.Spender(100)
     s.grant(5)
