@@ -209,10 +209,12 @@ def deleted(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def ticked(events: DataFrame, node: str, order: str, wall: str) -> DataFrame:
-    """events with physical and logical: each node's hybrid clock, which never runs back and counts on where the wall clock stands."""
-    so_far = W.partitionBy(node).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    """events with physical and logical: each node's hybrid clock, which never runs back and counts on where the wall clock stands.
+    Events of one place in the order show one physical time, the latest so far with all of theirs; those without a place come last."""
+    place = F.col(order).asc_nulls_last()
+    so_far = W.partitionBy(node).orderBy(place).rangeBetween(W.unboundedPreceding, W.currentRow)
     rows = events.withColumn("physical", F.max(wall).over(so_far))
-    return rows.withColumn("logical", F.row_number().over(W.partitionBy(node, "physical").orderBy(order)) - 1)
+    return rows.withColumn("logical", F.row_number().over(W.partitionBy(node, "physical").orderBy(place)) - 1)
 
 
 def range_digests(rows: DataFrame, part: Column) -> DataFrame:

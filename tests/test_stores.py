@@ -260,3 +260,12 @@ def test_numbers_are_checked(spark):
     with pytest.raises(collections.NotANumber):
         collections.numeric(rows, True)
     assert collections.incremented(collections.numeric(rows.limit(1), True), True).first().value == "1.5"
+
+
+def test_clock_of_events_that_share_a_place(spark):
+    """Whatever order tied events come in, they have one physical time, as the SQL's frame has it; events without a place come last."""
+    rows = [("a", 1, 5), ("a", 1, 9), ("a", 1, 7), ("a", 2, 6), ("a", None, 3), ("b", None, 4), ("b", 3, 2), ("b", 3, 1)]
+    for turned in (rows, rows[::-1]):
+        events = spark.createDataFrame(turned, "node string, place bigint, wall bigint").coalesce(1)
+        got = sorted(tuple(r) for r in kv.ticked(events, "node", "place", "wall").select(F.coalesce("place", F.lit(99)), "node", "physical", "logical").collect())
+        assert got == [(1, "a", 9, 0), (1, "a", 9, 1), (1, "a", 9, 2), (2, "a", 9, 3), (3, "b", 2, 0), (3, "b", 2, 1), (99, "a", 9, 4), (99, "b", 4, 0)]
