@@ -64,6 +64,8 @@ class Bound:
     type: T.DataType | None = None
     labels: tuple[str, ...] = ()
     key: str | None = None  # the label whose whole-number keys stand for node ids
+    many: bool = False  # rows may repeat a node, since many lead to it
+    told: str | None = None  # the one type of an edge whose id spells it out
 
 
 class Planner:
@@ -297,6 +299,8 @@ class Planner:
             again = False
         props: tuple[str, ...] = ()
         to = None
+        if side != here and s.many and not again:
+            self.spread()
         if side == here:
             to = F.col(f"`{start}{SEP}{column}`").cast("bigint")
         elif side is None:
@@ -308,18 +312,25 @@ class Planner:
             self.df = self.df.where((to if to is not None else F.col(f"`{end}{SEP}{column}`").cast("bigint")) == (self.key_of(end) if to is not None else self.key_of(start)))
         else:
             nodes, bound = self.nodes_as(b, end)
-            self.bound[end] = bound
+            self.bound[end] = replace(bound, many=s.many or side != there)
+            if side != here:
+                self.bound[start] = replace(s, many=True)
             self.df = self.df.join(nodes, to == self.key_of(end) if to is not None else F.col(f"`{end}{SEP}{column}`").cast("bigint") == self.key_of(start))
         if side is not None:
             ids = (self.id_of(start), self.id_of(end)) if r.way == "out" else (self.id_of(end), self.id_of(start))
             self.df = self.df.withColumn(f"{var}{SEP}{SEP}id", F.concat_ws("|", ids[0], F.lit(edge.kind), ids[1]))
         else:
             self.df = self.df.drop(f"{var}{SEP}from", f"{var}{SEP}to")
-        self.bound[var] = Bound("edge", props)
+        self.bound[var] = Bound("edge", props, told=edge.kind)
         self.require(end, p.labels, b)
         self.inline(end, p.props)
         return True
 
+    def spread(self) -> None:
+        """Rows dealt evenly over tasks before a hop that gives many rows for each: a small file is one task's, and few nodes
+        that many rows share are few tasks'."""
+        self.df = self.df.repartition(int(self.graph.spark.conf.get("spark.sql.shuffle.partitions")))
+
     def match(self, c: L.Match) -> None:
         if c.optional and self.open and self.df is not None:
             return self.optional(c)
@@ -334,8 +345,10 @@ class Planner:
                 self.expand(names[i], r, path.nodes[i + 1], names[i + 1])
                 edge = next(iter(k for k, b in self.bound.items() if k not in before and b.kind == "edge"), None)
                 if self.open and edge:  # a relationship is walked once in a path
+                    told = self.bound[edge].told
                     for other in used:
-                        self.df = self.df.where(self.id_of(edge) != self.id_of(other))
+                        if told is None or self.bound[other].told in (None, told):  # ids that tell of two types differ
+                            self.df = self.df.where(self.id_of(edge) != self.id_of(other))
                     used.append(edge)
         self.where(c.where)
 

@@ -113,3 +113,11 @@ def test_ids_are_looked_up_by_key(spark, sf_dir):
     assert column(g, "MATCH (c:Customer {id: 'customer:17'}) RETURN c") == ["customer:17"]
     changed = run(g, "MATCH (n:Nation) SET n.n_nationkey = 0").graph
     assert len(column(changed, "MATCH (c:Customer)-[:LOCATED_IN]->(n) RETURN n")) == len(column(g, "MATCH (c:Customer) RETURN c"))
+
+
+def test_one_type_twice_in_a_path_is_not_walked_back(spark, sf_dir):
+    """Ids of edges of two types need no comparison; those of one type still do."""
+    from polyquery.sources.catalog import tpch_graph
+
+    pairs = run(tpch_graph(spark, sf_dir), "MATCH (c:Customer)-[:LOCATED_IN]->(n)<-[:LOCATED_IN]-(d) RETURN c AS a, d AS b", rules="open").df
+    assert not pairs.isEmpty() and pairs.where("a = b").isEmpty()

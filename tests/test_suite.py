@@ -56,3 +56,11 @@ def test_whole_forms_reach_every_row(spark, name, table, key, column):
         rows = rows.join(suite.table(spark, SF, "supplier"), rows.c_nationkey == F.col("s_nationkey"), "left_semi")
     got = {r[0] for r in suite.queries()[name](spark, SF).select(column).collect()}
     assert got == {r[0] for r in rows.select(key).collect()}
+
+
+@pytest.mark.parametrize("name", ["cycle_open_all"])
+def test_hops_from_shared_nodes_are_spread(spark, name):
+    """Customers meet the suppliers of a nation in all tasks, not in the one that a small file is read by, and by numbers alone."""
+    df = suite.queries()[name](spark, SF)
+    assert df.groupBy(F.spark_partition_id()).count().count() > 1
+    assert "concat" not in df._jdf.queryExecution().executedPlan().toString()
