@@ -58,7 +58,7 @@ def test_whole_forms_reach_every_row(spark, name, table, key, column):
     assert got == {r[0] for r in rows.select(key).collect()}
 
 
-@pytest.mark.parametrize("name", ["cycle_open_all"])
+@pytest.mark.parametrize("name", ["cycle_open_all", "rebind_classic"])
 def test_hops_from_shared_nodes_are_spread(spark, name):
     """Customers meet the suppliers of a nation in all tasks, not in the one that a small file is read by, and by numbers alone."""
     df = suite.queries()[name](spark, SF)
