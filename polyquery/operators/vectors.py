@@ -14,8 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from polyquery.operators.cut import cut
 
-BROADCAST_QUERIES = 10_000
+BROADCAST_QUERIES, BLOCK_BYTES = 10_000, 1 << 19
 
 
 def metric_of(name: str | None) -> str:
@@ -70,14 +71,175 @@ def top_k(rows: DataFrame, query: list[float], k: int, metric: str = "cosine", w
     return near.withColumn("score", score).orderBy("distance", "id").limit(k)
 
 
+def tame(v: Column) -> Column:
+    """Vectors whose sums of products neither overflow nor vanish, without null or non-finite components."""
+    size = lambda x: F.abs(x.cast("double"))
+    inside = F.forall(v, lambda x: x.isNotNull() & (size(x) <= 1e100))
+    return F.coalesce((F.size(v) > 0) & inside & (F.exists(v, lambda x: size(x) >= 1e-100) | F.forall(v, lambda x: size(x) == 0)), F.lit(False))
+
+
+def blocks(rows: DataFrame, vector: str) -> DataFrame:
+    """(seq, dim, vectors, rest): up to BLOCK_BYTES of equally long vectors as doubles, and the rows' other columns as an Arrow
+    stream. Row i of a block has the number seq + i, which ascends with the partition and the place in it."""
+    import pyarrow as pa
+
+    rows = rows.withColumn(vector, F.col(vector).cast("array<double>"))
+    at = rows.columns.index(vector)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        seq = TaskContext.get().partitionId() << 40
+        for b in batches:
+            lists = b.column(at)
+            dims = lists.value_lengths().to_numpy(zero_copy_only=False)
+            rest = b.select([n for n in b.schema.names if n != vector])
+            for dim in np.unique(dims).tolist():
+                which = np.flatnonzero(dims == dim)
+                step = max(1, BLOCK_BYTES // (8 * dim))
+                for i in range(0, len(which), step):
+                    some = pa.array(which[i : i + step])
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, rest.schema) as out:
+                        out.write_batch(rest.take(some))
+                    data = lists.take(some).flatten().to_numpy(zero_copy_only=False).astype(float).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([dim], pa.int32()), pa.array([data], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["seq", "dim", "vectors", "rest"])
+                    seq += len(some)
+
+    return rows.mapInArrow(run, "seq bigint, dim int, vectors binary, rest binary")
+
+
+def in_turn(products) -> np.ndarray:
+    """The sum of arrays one after another, rounded as `summed` rounds."""
+    total = 0.0
+    for p in products:
+        total = total + p
+    return total
+
+
+class Nearest:
+    """The k nearest rows so far of each query of a block: a matrix product rules rows out with room for its rounding, and
+    distances of those left are summed component by component as `distance` does. Ties go to the lower number."""
+
+    def __init__(self, queries: np.ndarray, names, k: int, kind: str) -> None:
+        self.q, self.names, self.k, self.kind = queries, names, k, kind
+        self.turned = np.ascontiguousarray(queries.T)
+        self.square = in_turn(x * x for x in self.turned)
+        self.of, self.far, self.seq, self.rest = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), None
+        self.worst = np.full(len(queries), np.inf)
+
+    def meet(self, seq: int, x: np.ndarray, rest) -> None:
+        import pyarrow as pa
+
+        turned = np.ascontiguousarray(x.T)
+        square = in_turn(v * v for v in turned)
+        about, room = self.about(x, square)
+        limit = (self.worst**2 if self.kind == "l2" else self.worst) + room
+        if len(x) > self.k and (fresh := np.flatnonzero(np.isinf(limit))).size:
+            limit[fresh] = np.partition(about[fresh], self.k - 1, axis=1)[:, self.k - 1] + 2 * room[fresh]
+        near = about <= limit[:, None]
+        if len(x) > self.k and np.count_nonzero(near) > 16 * self.k * len(self.q):
+            near &= about <= (np.partition(about, self.k - 1, axis=1)[:, self.k - 1] + 2 * room)[:, None]
+        of, at = np.nonzero(near)
+        if not len(of):
+            return
+        far = np.concatenate([self.exact(turned, square, of[i : i + 65_536], at[i : i + 65_536]) for i in range(0, len(of), 65_536)])
+        fine = far <= self.worst[of]
+        of, at, far = of[fine], at[fine], far[fine]
+        if not len(of):
+            return
+        of, far, seqs = np.concatenate((self.of, of)), np.concatenate((self.far, far)), np.concatenate((self.seq, seq + at))
+        order = np.lexsort((seqs, far, of))
+        first = np.searchsorted(of[order], np.arange(len(self.q)))
+        kept = order[np.arange(len(order)) - first[of[order]] < self.k]
+        held = len(self.of)
+        old, new = kept[kept < held], kept[kept >= held]
+        kept = np.concatenate((old, new))
+        parts = ([self.rest.take(pa.array(old))] if len(old) else []) + ([pa.Table.from_batches([rest.take(pa.array(at[new - held]))])] if len(new) else [])
+        self.rest = pa.concat_tables(parts).combine_chunks()
+        self.of, self.far, self.seq = of[kept], far[kept], seqs[kept]
+        count = np.bincount(self.of, minlength=len(self.q))
+        most = np.full(len(self.q), -np.inf)
+        np.maximum.at(most, self.of, self.far)
+        self.worst = np.where(count == self.k, most, np.inf)
+
+    def about(self, x: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distances but for rounding, squared for l2, and for each query more than that rounding can make)."""
+        product, error = self.q @ x.T, 16 * (x.shape[1] + 8) * np.finfo(float).eps
+        if self.kind == "l2":
+            product *= -2
+            product += square
+            product += self.square[:, None]
+            return product, error * (self.square + square.max()) + error * np.where(np.isinf(self.worst), 0, self.worst**2)
+        if self.kind == "dot":
+            return np.negative(product, out=product), error * np.sqrt(self.square) * np.sqrt(square.max())
+        norms = np.sqrt(self.square)[:, None] * np.sqrt(square)
+        return 1 - np.divide(product, norms, out=np.zeros_like(product), where=norms != 0), np.full(len(self.q), 2 * error)
+
+    def exact(self, turned: np.ndarray, square: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        pairs = list(zip(turned, self.turned, strict=True))
+        if self.kind == "l2":
+            return np.sqrt(in_turn((d := x[at] - q[of]) * d for x, q in pairs))
+        product = in_turn(x[at] * q[of] for x, q in pairs)
+        if self.kind == "dot":
+            return -product
+        norms = np.sqrt(square[at]) * np.sqrt(self.square[of])
+        return 1 - np.divide(product, norms, out=np.zeros_like(product), where=norms != 0)
+
+
+def nearest_of_blocks(pairs: DataFrame, k: int, kind: str, schema: T.StructType) -> DataFrame:
+    """Rows of `schema` (_q, distance, the rows' other columns): for each pair of blocks met in a task, its queries' k nearest."""
+    import pyarrow as pa
+
+    def run(batches):
+        held: dict[int, Nearest] = {}
+        read = lambda blob: pa.ipc.open_stream(blob).read_next_batch()
+        for batch in batches:
+            q_seq, q_dim, q_vectors, q_rest, seq, dim, vectors, rest = batch.columns
+            for i in range(len(batch)):
+                d = dim[i].as_py()
+                if q_dim[i].as_py() != d:
+                    continue
+                key = q_seq[i].as_py()
+                if key not in held:
+                    names = read(q_rest[i].as_buffer().to_pybytes()).column(0)
+                    held[key] = Nearest(np.frombuffer(q_vectors[i].as_buffer(), float).reshape(-1, d).copy(), names, k, kind)
+                held[key].meet(seq[i].as_py(), np.frombuffer(vectors[i].as_buffer(), float).reshape(-1, d), read(rest[i].as_buffer().to_pybytes()))
+        for one in held.values():
+            if one.rest is not None:
+                for b in one.rest.add_column(0, "distance", pa.array(one.far)).add_column(0, "_q", one.names.take(pa.array(one.of))).to_batches(10_000):
+                    yield b
+
+    return pairs.mapInArrow(run, schema)
+
+
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """Rows' other columns and (query_id, distance, score, rank) for a stated table of queries (query_id, query): each row meets
-    each query once. Up to BROADCAST_QUERIES queries are broadcast; the best k are kept before and after the shuffle."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    met = rows.crossJoin(F.broadcast(queries) if few else queries).where(F.size("vector") == F.size("query"))
-    met = met.withColumn("distance", distance(F.col("vector"), F.col("query"), metric)).drop("vector", "query")
+    """Rows' other columns and (query_id, distance, score, rank) for a stated table of queries (query_id, query): blocks of rows,
+    in the order of their ids, meet blocks of queries, and each task gives its rows' best k of each query. Up to BROADCAST_QUERIES
+    queries are broadcast. Vectors with null, non-finite or extreme components meet the others one by one."""
+    spark, kind = rows.sparkSession, metric_of(metric)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    names = [c for c in rows.columns if c != "vector"] + [c for c in queries.columns if c != "query"] + ["distance"]
+    asked = cut(queries.where(F.size("query") >= 0).withColumn("_q", F.monotonically_increasing_id()))
+    plain = lambda x, q: x.crossJoin(q).where(F.size("vector") == F.size("query")).withColumn("distance", distance(F.col("vector"), F.col("query"), metric)).select(names)
+    if k <= 0:
+        met = plain(rows, asked).limit(0)
+    else:
+        sorted_rows = rows.where(tame(F.col("vector"))).repartitionByRange("id").sortWithinPartitions("id")
+        count, tasks = asked.count(), 2 * spark.sparkContext.defaultParallelism
+        some = blocks(asked.where(tame(F.col("query"))).select("query", "_q"), "query").select(*[F.col(c).alias(f"q_{c}") for c in ("seq", "dim", "vectors", "rest")])
+        some = F.broadcast(some) if count <= BROADCAST_QUERIES else some.repartition(-(-count // BROADCAST_QUERIES), "q_seq")
+        pairs = some.crossJoin(blocks(sorted_rows, "vector").repartition(tasks, "seq"))
+        rest = [f for f in rows.schema.fields if f.name != "vector"]
+        schema = T.StructType([T.StructField("_q", T.LongType()), T.StructField("distance", T.DoubleType()), *[T.StructField(f.name, f.dataType) for f in rest]])
+        met = nearest_of_blocks(pairs, k, kind, schema).join(asked.drop("query"), "_q").select(names)
+        odd_rows, odd_asked = rows.where(~tame(F.col("vector"))), asked.where(~tame(F.col("query")))
+        if not odd_rows.isEmpty():
+            met = met.unionByName(plain(odd_rows, asked))
+        if not odd_asked.isEmpty():
+            met = met.unionByName(plain(rows.where(tame(F.col("vector"))), odd_asked))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    score = 1 - F.col("distance") if metric_of(metric) == "cosine" else -F.col("distance")
+    score = 1 - F.col("distance") if kind == "cosine" else -F.col("distance")
     return met.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", score)
 
 

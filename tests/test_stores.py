@@ -269,3 +269,24 @@ def test_clock_of_events_that_share_a_place(spark):
         events = spark.createDataFrame(turned, "node string, place bigint, wall bigint").coalesce(1)
         got = sorted(tuple(r) for r in kv.ticked(events, "node", "place", "wall").select(F.coalesce("place", F.lit(99)), "node", "physical", "logical").collect())
         assert got == [(1, "a", 9, 0), (1, "a", 9, 1), (1, "a", 9, 2), (2, "a", 9, 3), (3, "b", 2, 0), (3, "b", 2, 1), (99, "a", 9, 4), (99, "b", 4, 0)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+@pytest.mark.parametrize("broadcast", [10_000, 50])
+def test_batches_meet_in_blocks_with_the_answers_of_each_pair(spark, monkeypatch, metric, broadcast):
+    """Blocks give what each pair's distance gives: copies tie by id, and zero, extreme, null, shorter and non-finite vectors count as before."""
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", broadcast)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 4_000)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (600, 8)).astype(float).tolist() + rng.standard_normal((300, 8)).tolist()
+    x += [[0.5] * 8] * 70 + [[0.0] * 8] * 5 + [[1e200] * 8, [1e-200] * 8, [float("nan")] * 8, [float("inf")] * 8, [None] + [1.0] * 7, [], None] + rng.standard_normal((30, 3)).tolist()
+    rng.shuffle(ids := list(range(len(x))))
+    rows = spark.createDataFrame([(i, v, f"n{i}") for i, v in zip(ids, x, strict=True)], "id bigint, vector array<double>, name string").repartition(3)
+    queries = rows.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    got = vectors.batch_top_k(rows, queries, 4, metric)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    met = rows.crossJoin(queries).where(F.size("vector") == F.size("query")).withColumn("distance", vectors.distance(F.col("vector"), F.col("query"), metric))
+    met.createOrReplaceTempView("met_in_pairs")
+    want = spark.sql("SELECT query_id, rank, id, name, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM met_in_pairs) WHERE rank <= 4")
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert vectors.batch_top_k(rows, queries, 0, metric).isEmpty()
