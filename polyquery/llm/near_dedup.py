@@ -277,6 +277,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *([F.col("mark").alias(mark)] if mark else []))
 
 
+def sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of the pairs' nodes alone, where so few are asked for that they can be broadcast: the others aren't shuffled."""
+    if 2 * pairs.count() > BROADCAST_ROWS:
+        return sets
+    return sets.join(F.broadcast(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "node", "left_semi")
+
+
 def link(posts: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, matches: int, rounds: int) -> DataFrame | None:
     """(node, root) of the nodes that have links."""
     tried: list[DataFrame] = []
@@ -299,21 +306,24 @@ def link(posts: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int,
             pairs = ends.join(heads, "key").where(F.col("comp") != F.col("head.comp")).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
         for t in tried:
             pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        left, right = signatures.toDF("a", "sa"), signatures.toDF("b", "sb")
+        short = F.transform("signature", lambda x: F.shiftright(x, 48).cast("smallint"))  # equal values agree, others but once in 65,536: candidates are confirmed
+        left, right = signatures.select(F.col("node").alias("a"), short.alias("sa")), signatures.select(F.col("node").alias("b"), short.alias("sb"))
         agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         pairs = pairs if last else pairs.join(left, "a").join(right, "b").select("a", "b", (agree >= matches).alias("candidate"))
         both = F.size(F.array_intersect("x", "y"))
         whole = F.size("x") + F.size("y") - both
-        x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        asked = pairs if last else staged(pairs, "pairs")
-        linked = (asked if last else asked.where("candidate")).select("a", "b").join(x, "a").join(y, "b").where(100 * both >= percent * whole)
+        asked = staged(pairs, "pairs")
+        wanted = (asked if last else asked.where("candidate")).select("a", "b")
+        some = sets_of(wanted, sets)
+        x, y = some.select(F.col("node").alias("a"), F.col("shingles").alias("x")), some.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        linked = wanted.join(x, "a").join(y, "b").where(100 * both >= percent * whole)
         new = staged(linked.select("a", "b"), "edges")
         links = new.count()
         if links:
             found = merged(found, new)
         dropped(new, heads)
         if last:
-            dropped(split)
+            dropped(split, asked)
             break
         tried.append(asked)
         worth = links * WORTH >= asked.count()

@@ -413,3 +413,14 @@ def test_arrow_text_without_nulls_or_values():
 
     data, offsets = text_bytes(pa.array([None, "", "ab"]))
     assert bytes(data) == b"ab" and list(offsets) == [0, 0, 0, 2]
+
+
+def test_links_are_confirmed_on_the_sets_asked_for(spark, monkeypatch):
+    """The sets of other nodes aren't shuffled where the pairs are few; where they are many, all sets are joined."""
+    from polyquery.llm import near_dedup
+
+    sets = spark.createDataFrame([(bytes([i]), [i]) for i in range(6)], "node binary, shingles array<bigint>")
+    pairs = spark.createDataFrame([(b"\x01", b"\x03"), (b"\x01", b"\x04")], "a binary, b binary")
+    assert sorted(r.shingles[0] for r in near_dedup.sets_of(pairs, sets).collect()) == [1, 3, 4]
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 3)
+    assert near_dedup.sets_of(pairs, sets).count() == 6
