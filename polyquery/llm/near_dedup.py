@@ -21,20 +21,23 @@ certain. Only what is left goes on to the full sets.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from polyquery.llm.shared import documents, dropped, ready, staged
+from polyquery.llm.shared import documents, dropped, ready, staged, swept
 from polyquery.llm.words import U64, chunks, mix, shingles, text_bytes, word_hashes
 
 MINIMA, COORDINATES, MATCHES = 3, 32, 5  # a pair of resemblance 0.8 agrees in 5 of 32 but for some five cases in a million
 BROADCAST_ROWS = 500_000
 BLOCK, BLOCK_BYTES = 4096, 32 << 20  # members of a list that reside in one block, and the bytes of their sketches
 VISITORS = 512  # visitors that a task holds at once
+ONE_TASK = 100_000  # links, 3 MB of them, that one task puts together; more are put together round by round
 ROUNDS, WORTH = 8, 100  # centre rounds at most; fewer once less than one in WORTH of a round's pairs is linked
 
 
@@ -197,8 +200,34 @@ def split_lists(split: DataFrame, signatures: DataFrame, sets: DataFrame) -> Dat
     return rows.repartition("key", "block").sortWithinPartitions("key", "block", "visits")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in `edges` (a, b): the least node that can be reached. Labels spread and are shortened in turn, each round a written table."""
+def put_together(edges: DataFrame) -> DataFrame:
+    """As `components`, by union-find in one task."""
+    kind = edges.schema["a"].dataType
+
+    def run(batches):
+        up = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((top(a), top(b)))
+                up[high] = low
+        node = pa.array(list(up), to_arrow_type(kind))
+        yield pa.RecordBatch.from_arrays([node, pa.array(list(map(top, up)), node.type)], ["node", "root"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, f"node {kind.simpleString()}, root {kind.simpleString()}")
+
+
+def components(edges: DataFrame, few: bool = False) -> DataFrame:
+    """(node, root) of every node in `edges` (a, b): the least node that can be reached. Labels spread and are shortened in turn,
+    each round a written table. `few` says that there are at most ONE_TASK edges: so many rounds of tiny tables would only fill
+    the driver with plans, threads and broadcasts."""
+    if few:
+        return staged(put_together(edges), "labels")
     both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
     labels, before = staged(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "labels"), None
     while True:
@@ -213,15 +242,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def merged(found: DataFrame | None, new: DataFrame) -> DataFrame:
-    """(node, root) with the links `new` (a, b) added: components of the components that they join, not of all links."""
+def merged(found: DataFrame | None, new: DataFrame, links: int) -> DataFrame:
+    """(node, root) with the links `new` (a, b), so many of them, added: components of the components that they join, not of all links."""
+    few = links <= ONE_TASK
     if found is None:
-        return components(new)
+        return components(new, few)
     ends = new.join(found.toDF("a", "ra"), "a", "left").join(found.toDF("b", "rb"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-    joined = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()).toDF("root", "top")
+    ends = staged(ends, "ends")
+    joined = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), few).toDF("root", "top")
     nodes = found.union(ends.select("a", "ra")).union(ends.select("b", "rb")).distinct()
     out = staged(nodes.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "found")
-    dropped(found, joined)
+    dropped(found, joined, ends)
     return out
 
 
@@ -304,8 +335,8 @@ def link(posts: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int,
             pairs = close_pairs(split_lists(split, signatures, sets), percent, matches).distinct()
         else:
             pairs = ends.join(heads, "key").where(F.col("comp") != F.col("head.comp")).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
-        for t in tried:
-            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.union, [t.select("a", "b") for t in tried]), ["a", "b"], "left_anti")
         short = F.transform("signature", lambda x: F.shiftright(x, 48).cast("smallint"))  # equal values agree, others but once in 65,536: candidates are confirmed
         left, right = signatures.select(F.col("node").alias("a"), short.alias("sa")), signatures.select(F.col("node").alias("b"), short.alias("sb"))
         agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -320,7 +351,7 @@ def link(posts: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int,
         new = staged(linked.select("a", "b"), "edges")
         links = new.count()
         if links:
-            found = merged(found, new)
+            found = merged(found, new, links)
         dropped(new, heads)
         if last:
             dropped(split, asked)
@@ -328,6 +359,7 @@ def link(posts: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int,
         tried.append(asked)
         worth = links * WORTH >= asked.count()
         turn += 1
+        swept(posts.sparkSession)
     dropped(*tried)
     return found
 

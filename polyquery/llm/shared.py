@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -60,6 +61,13 @@ def dropped(*tables: DataFrame | None) -> None:
             remove(t.sparkSession, *{f.rsplit("/", 1)[0] for f in t.inputFiles()})  # a staged table's files lie in one folder
 
 
+def swept(spark: SparkSession) -> None:
+    """The driver collects its garbage, between the rounds of a loop: only then do the plans of earlier rounds go, and with them the
+    broadcasts and shuffle files that executors hold for them. Else its heap grows by each round's plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def local_path(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
