@@ -21,7 +21,6 @@ certain. Only what is left goes on to the full sets.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from polyquery.llm.shared import documents, dropped, ready, staged, swept
+from polyquery.llm.shared import all_staged, documents, dropped, ready, staged, swept
 from polyquery.llm.words import U64, chunks, mix, shingles, text_bytes, word_hashes
 
 MINIMA, COORDINATES, MATCHES = 3, 32, 5  # a pair of resemblance 0.8 agrees in 5 of 32 but for some five cases in a million
@@ -336,7 +335,7 @@ def link(posts: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int,
         else:
             pairs = ends.join(heads, "key").where(F.col("comp") != F.col("head.comp")).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
         if tried:
-            pairs = pairs.join(reduce(DataFrame.union, [t.select("a", "b") for t in tried]), ["a", "b"], "left_anti")
+            pairs = pairs.join(all_staged(tried, "a", "b"), ["a", "b"], "left_anti")
         short = F.transform("signature", lambda x: F.shiftright(x, 48).cast("smallint"))  # equal values agree, others but once in 65,536: candidates are confirmed
         left, right = signatures.select(F.col("node").alias("a"), short.alias("sa")), signatures.select(F.col("node").alias("b"), short.alias("sb"))
         agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)

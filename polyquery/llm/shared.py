@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import itertools
 import os
 import shutil
 import tempfile
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BATCH_BYTES = 4 << 20
+SWEEP_EVERY = 3  # staged tables after which the driver collects its garbage
 
 
 _own: dict[str, str] = {}
+_written = itertools.count(1)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,13 +43,28 @@ def limits(spark: SparkSession) -> None:
 
 
 def staged(df: DataFrame, what: str = "t") -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, without lineage, there after an executor is lost."""
+    """df as a Parquet table in the shared folder: computed once, without lineage, there after an executor is lost.
+
+    Each SWEEP_EVERY tables the driver collects its garbage, so that its heap doesn't grow by the plans of the tables before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if next(_written) % SWEEP_EVERY == 0:
+        swept(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folders(table: DataFrame) -> set[str]:
+    """Where a staged table's files lie: in one folder, or none if it has no files."""
+    return {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+
+
+def all_staged(tables: list[DataFrame], *columns: str) -> DataFrame:
+    """The rows of staged tables that have these columns alike, by one scan: a union's plan would grow with each table."""
+    one, paths = tables[0].select(*columns), sorted(set().union(*map(folders, tables)))
+    return one.sparkSession.read.schema(one.schema).parquet(*paths) if paths else one
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Removes files and folders, wherever Spark can write them."""
     for path in paths:
@@ -58,7 +76,7 @@ def dropped(*tables: DataFrame | None) -> None:
     """Removes staged tables that no later step reads."""
     for t in tables:
         if t is not None:
-            remove(t.sparkSession, *{f.rsplit("/", 1)[0] for f in t.inputFiles()})  # a staged table's files lie in one folder
+            remove(t.sparkSession, *folders(t))
 
 
 def swept(spark: SparkSession) -> None:
